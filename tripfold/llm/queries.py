@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tripfold.llm.op1_decontamination import op1_decontamination
 from tripfold.llm.op2_quality_mil import op2_quality_mil
 from tripfold.llm.op4_ngram_jaccard_join import op4_ngram_jaccard_join
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_mil": op2_quality_mil,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
