@@ -238,5 +238,27 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     )
 
 
+SMALL = 1_000_000  # ids that may be broadcast (8 bytes each)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays,
+    one row if that doc_id is repeated."""
+    found = stored(ngram_jaccard_join(docs, words, percent))
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+
+    def held(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+    drop, same = stored(drop), docs["doc_id"] == F.col("_id")
+    kept = docs.join(held(drop), same, "left_anti")
+    repeated = stored(repeated)
+    if not repeated.isEmpty():
+        again = held(repeated)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    return kept
+
+
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85)

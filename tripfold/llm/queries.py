@@ -5,10 +5,14 @@ from __future__ import annotations
 from tripfold.llm.op1_decontamination import op1_decontamination
 from tripfold.llm.op2_quality_mil import op2_quality_mil
 from tripfold.llm.op4_ngram_jaccard_join import op4_ngram_jaccard_join
+from tripfold.llm.op5_source_mix import op5_source_mix
+from tripfold.llm.op9_token_index import op9_token_index
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_mil": op2_quality_mil,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_source_mix": op5_source_mix,
+    "op9_token_index": op9_token_index,
 }
 ORACLE_SQL: dict[str, str] = {}
