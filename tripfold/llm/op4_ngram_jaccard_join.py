@@ -33,7 +33,7 @@ from tripfold.llm.components import components
 
 ORDERS = 2  # further orders, besides the one by rarity
 BLOCK = 1_000_000  # tokens of a block
-SIEVE = 1 << 26  # bits of the sieve that tells which sets matter, at most
+SIEVE = 1 << 28  # bits of a sieve that tells which tokens or sets matter, at most
 SEED = 1
 
 
@@ -75,22 +75,64 @@ def documents_and_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, n_low long, low array<long>")
 
 
+def sieve(ids: DataFrame):
+    """A broadcast bit map in which the bits of the ids (one long column) are set: 8 bits an id, SIEVE at most.
+
+    What it lets through is joined to the ids afterwards, so it only spares the rest a shuffle; at its
+    largest it lets more through, and results stay the same.
+    """
+    n, bits = ids.count(), 1 << 10
+    while bits < min(SIEVE, 8 * n):
+        bits *= 2
+
+    def mark(batches):
+        out = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)
+            np.bitwise_or.at(out, (x >> np.uint64(3)).astype(np.int64), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
+        step = 1 << 16
+        for k in range(0, len(out), step):
+            yield pa.RecordBatch.from_pydict({"at": [k], "part": [out[k : k + step].tobytes()]})
+
+    # at most SIEVE / 8 bytes from each of a few tasks
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in ids.coalesce(8).mapInArrow(mark, "at long, part binary").toLocalIterator():
+        part = np.frombuffer(r["part"], np.uint8)
+        whole[r["at"] : r["at"] + len(part)] |= part
+    return ids.sparkSession.sparkContext.broadcast(whole)
+
+
+def passes(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    x = ids.view(np.uint64) & np.uint64(8 * len(held) - 1)
+    return (held[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def leaders(tokens: DataFrame, percent: int) -> DataFrame:
     """leader and set_id: the groups in which the sets' partners are."""
-    given = tokens.where("low is not null").select("set_id", "n_shingles", "n_low", F.explode("low").alias("token"))
-    # a token of one set has smallest = largest; counts are combined before the shuffle
-    shared = (
-        given.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("df"))
+    given = tokens.where("low is not null").select("set_id", "n_shingles", "n_low", "low")
+    # a token of one set has lo = hi; both are combined before the shuffle
+    shared = stored(
+        given.select("set_id", F.explode("low").alias("token"))
+        .groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("df"))
         .where("lo <> hi").select("token", "df")
     )
-    kept = given.join(shared, "token").groupBy("set_id", "token").agg(F.first("df").alias("df"), F.first("n_shingles").alias("n"), F.first("n_low").alias("n_low"))
+    held = sieve(shared.select("token"))
+
+    def some(batches):
+        for b in batches:
+            low = b.column(3)
+            token, n = low.flatten().to_numpy(zero_copy_only=False), np.diff(low.offsets.to_numpy())
+            keep = passes(held.value, token)
+            row = np.repeat(np.arange(b.num_rows), n)[keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), b.column(2).take(row), pa.array(token[keep])], ["set_id", "n", "n_low", "token"])
+
+    kept = given.mapInArrow(some, "set_id long, n long, n_low long, token long").join(shared, "token").distinct()
     mine = Window.partitionBy("set_id")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100).cast("decimal(3,0)")) + 1
-    ranked = (
+    ranked = stored(
         kept.withColumn("_at", F.row_number().over(mine.orderBy("df", "token"))).withColumn("_shared", F.count("*").over(mine))
         .where(F.col("_at") <= prefix - (F.col("n_low") - F.col("_shared"))).select("token", "set_id")
     )
-    ranked = stored(ranked)
     first = ranked.groupBy("token").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("hi")).where("leader <> hi").select("token", "leader")
     return stored(ranked.join(first, "token").select("leader", "set_id").distinct())
 
@@ -98,30 +140,9 @@ def leaders(tokens: DataFrame, percent: int) -> DataFrame:
 def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """set_id and tokens (sorted 64-bit little-endian) of the given sets, shingled again from their texts.
 
-    A sieve of at most SIEVE bits, set from the wanted ids, spares the others' tokens a shuffle; it lets
-    some others through, which the join drops, so it only saves work.
+    A sieve spares the other sets' tokens a shuffle; the join to members drops what it lets through.
     """
-    wanted = members.select("set_id").distinct()
-    bits = 1 << 10
-    n = wanted.count()
-    while bits < min(SIEVE, 8 * n):
-        bits *= 2
-
-    def mark(batches):
-        sieve = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)
-            np.bitwise_or.at(sieve, (x >> np.uint64(3)).astype(np.int64), np.uint8(1) << (x & np.uint64(7)).astype(np.uint8))
-        step = 1 << 16
-        for k in range(0, len(sieve), step):
-            yield pa.RecordBatch.from_pydict({"at": [k], "part": [sieve[k : k + step].tobytes()]})
-
-    # at most SIEVE / 8 bytes from each of a few tasks
-    sieve = np.zeros(bits // 8, np.uint8)
-    for r in wanted.coalesce(8).mapInArrow(mark, "at long, part binary").toLocalIterator():
-        part = np.frombuffer(r["part"], np.uint8)
-        sieve[r["at"] : r["at"] + len(part)] |= part
-    held = docs.sparkSession.sparkContext.broadcast(sieve)
+    held = sieve(members.select("set_id").distinct())
 
     def run(batches):
         seen = set()
@@ -129,8 +150,7 @@ def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             keys, sets = [], []
             for text in b.column(0).to_pylist():
                 s, key = _sets(text, words)
-                at = key & (bits - 1)
-                if len(s) and held.value[at >> 3] >> (at & 7) & 1 and key not in seen:
+                if len(s) and key not in seen and passes(held.value, np.array([key]))[0]:
                     seen.add(key), keys.append(key), sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["set_id", "tokens"])
 
