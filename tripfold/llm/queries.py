@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from tripfold.llm.op1_decontamination import op1_decontamination
+from tripfold.llm.op10_toxicity_counterfactual import op10_toxicity_counterfactual
 from tripfold.llm.op2_quality_mil import op2_quality_mil
+from tripfold.llm.op3_improbable_digest import op3_improbable_digest
 from tripfold.llm.op4_ngram_jaccard_join import op4_ngram_jaccard_join
 from tripfold.llm.op5_source_mix import op5_source_mix
+from tripfold.llm.op7_site_lines import SQL as SITE_LINES
+from tripfold.llm.op7_site_lines import op7_site_lines
 from tripfold.llm.op9_token_index import op9_token_index
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_mil": op2_quality_mil,
+    "op3_improbable_digest": op3_improbable_digest,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_source_mix": op5_source_mix,
+    "op7_site_lines": op7_site_lines,
     "op9_token_index": op9_token_index,
+    "op10_toxicity_counterfactual": op10_toxicity_counterfactual,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_site_lines": SITE_LINES}
