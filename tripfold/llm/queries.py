@@ -8,6 +8,7 @@ from tripfold.llm.op2_quality_mil import op2_quality_mil
 from tripfold.llm.op3_improbable_digest import op3_improbable_digest
 from tripfold.llm.op4_ngram_jaccard_join import op4_ngram_jaccard_join
 from tripfold.llm.op5_source_mix import op5_source_mix
+from tripfold.llm.op6_gru_lm import op6_gru_lm
 from tripfold.llm.op7_site_lines import SQL as SITE_LINES
 from tripfold.llm.op7_site_lines import op7_site_lines
 from tripfold.llm.op9_token_index import op9_token_index
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_improbable_digest": op3_improbable_digest,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_source_mix": op5_source_mix,
+    "op6_gru_lm": op6_gru_lm,
     "op7_site_lines": op7_site_lines,
     "op9_token_index": op9_token_index,
     "op10_toxicity_counterfactual": op10_toxicity_counterfactual,
