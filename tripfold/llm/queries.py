@@ -11,6 +11,7 @@ from tripfold.llm.op5_source_mix import op5_source_mix
 from tripfold.llm.op6_gru_lm import op6_gru_lm
 from tripfold.llm.op7_site_lines import SQL as SITE_LINES
 from tripfold.llm.op7_site_lines import op7_site_lines
+from tripfold.llm.op8_html_boosted import op8_html_boosted
 from tripfold.llm.op9_token_index import op9_token_index
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_gru_lm": op6_gru_lm,
     "op7_site_lines": op7_site_lines,
+    "op8_html_boosted": op8_html_boosted,
     "op9_token_index": op9_token_index,
     "op10_toxicity_counterfactual": op10_toxicity_counterfactual,
 }
