@@ -66,6 +66,12 @@ JUDGE_CUT_MARK = "\n  ... (结果已截断)"
 JUDGE_TOOL_NOTE = "[Agent]: (调用工具，见下方)"
 NO_PREFERENCES = "（无参考偏好数据）"
 
+# The syntax of a fenced block, of trailing pass tokens and of a trailing edit marker. ``\z`` is the
+# true end of text in Java, ``(?d)`` keeps "." from stopping at anything but a line feed.
+JSON_FENCE = r"```json\s*(\{[\s\S]*?\})\s*```"
+PASS_END = r"(?iU)(?:\s*\[pass\]\s*)+\z"
+MARKER = r"(?Ud)\[\s*([\w.]+)\s*:\s*(.+?)\s*\]\s*\z"
+
 # --- judge ------------------------------------------------------------------
 RATINGS = {"极差": 1, "较差": 2, "一般": 3, "较好": 4, "优秀": 5}
 RATING_PREFIXES = ("评级：", "评级:")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _col(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+from .columns import col
 
 
 def strict_variant(text: Column | str) -> Column:
@@ -15,7 +13,7 @@ def strict_variant(text: Column | str) -> Column:
 
     ``try_parse_json`` alone accepts trailing characters after the first value.
     """
-    c = _col(text)
+    c = col(text)
     as_list = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     return F.when((F.size(as_list) == 1) & as_field.isNotNull(), F.get(as_list, F.lit(0)))
@@ -28,6 +26,7 @@ def variant_kind(v: Column) -> Column:
             .when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
             .when(s == "VOID", "null")
             .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
+            .when(s.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
             .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "number"))
 
 
@@ -50,7 +49,7 @@ def quote(text: Column) -> Column:
 
 def cache_key(params: Column | str) -> Column:
     """Key-sorted ``[[k,v],…]`` of a JSON object; anything else unchanged."""
-    c = _col(params)
+    c = col(params)
     m = as_map(strict_variant(c))
     pairs = F.transform(
         F.array_sort(F.map_keys(m)),
@@ -60,18 +59,22 @@ def cache_key(params: Column | str) -> Column:
 
 
 def params_of(key: Column | str) -> Column:
-    """JSON object of a cache key; malformed pairs dropped, null if none is left."""
+    """JSON object of a cache key; malformed pairs and null keys dropped, the last of a repeated key
+    kept, null if none is left (T3). Callers that keep an unusable key coalesce with it."""
     items = F.try_variant_get(strict_variant(key), "$", "array<variant>")
     pairs = F.filter(F.transform(items, lambda x: F.try_variant_get(x, "$", "array<variant>")),
                      lambda p: F.coalesce(F.size(p) == 2, F.lit(False)))
-    body = F.transform(pairs, lambda p: F.concat(quote(as_text(F.get(p, F.lit(0)))), F.lit(":"),
-                                                 F.coalesce(F.to_json(F.get(p, F.lit(1))), F.lit("null"))))
-    return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
+    named = F.transform(pairs, lambda p: F.struct(as_text(F.get(p, F.lit(0))).alias("k"),
+                                                  F.coalesce(F.to_json(F.get(p, F.lit(1))), F.lit("null")).alias("v")))
+    named = F.filter(named, lambda e: e["k"].isNotNull())
+    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda f: f["k"] == e["k"]))
+    body = F.transform(last, lambda e: F.concat(quote(e["k"]), F.lit(":"), e["v"]))
+    return F.when(F.size(body) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
 
 
 def params_text(params: Column | str) -> Column:
     """``k: v | k: v`` of a JSON object; other text unchanged (T4)."""
-    c = _col(params)
+    c = col(params)
     m = as_map(strict_variant(c))
 
     def shown(v: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import col, strip
+from .columns import col
+from .text import strip
 
 
 def rating_score(text: Column | str) -> Column:

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CLOCK = r"^(2[0-3]|[01][0-9]|[0-9]):([0-5][0-9]|[0-9])$"
+from .columns import col
 
-
-def _col(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+_CLOCK = r"^(2[0-3]|[01][0-9]|[0-9]):([0-5][0-9]|[0-9])\z"
 
 
 def minutes(clock: Column | str) -> Column:
     """``H:M`` as minutes after midnight, else null; one-digit parts are fine."""
-    c = _col(clock)
+    c = col(clock)
     part = lambda i: F.regexp_extract(c, _CLOCK, i).try_cast("int")
     return F.when(c.rlike(_CLOCK), part(1) * 60 + part(2))
 
@@ -41,7 +39,7 @@ def month_day(day: Column) -> Column:
 
 def day_of(text: Column | str) -> Column:
     """Calendar date of ``Y-M-D`` text, else null."""
-    c = _col(text)
+    c = col(text)
     return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"),
                   F.to_date(F.try_to_timestamp(c, F.lit("y-M-d"))))
 
@@ -58,7 +56,9 @@ def date_error(c: Column) -> Column:
 def coordinate_error(c: Column) -> Column:
     """True when the text is not ``lon,lat`` inside the valid ranges."""
     parts = F.split(c, ",")
-    number = lambda i: F.trim(F.get(parts, F.lit(i))).try_cast("double")
+    plain = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+    text = lambda i: F.trim(F.get(parts, F.lit(i)))
+    number = lambda i: F.when(text(i).rlike(plain), text(i).try_cast("double"))
     lon, lat = number(0), number(1)
     good = (F.size(parts) == 2) & lon.between(-180, 180) & lat.between(-90, 90)
     return ~F.coalesce(good, F.lit(False))

@@ -2,8 +2,8 @@
 
 A plain window puts a whole group into one task. ``running`` cuts each group
 into chunks along its order, summarises the chunks (map-side combined), runs a
-window over the summaries only, and finishes inside each chunk. The result is
-the same as the plain window; the largest sort is one chunk.
+window over the summaries only, and finishes inside each chunk. The largest sort
+is one chunk.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ class Running:
 
 
 def chunk_of(position: str, rows: int = CHUNK_ROWS) -> Column:
-    """Chunk number of a unique non-negative integer position: ≤ ``rows`` rows each."""
-    return F.floor(F.col(position) / F.lit(rows))
+    """Chunk number of a non-negative integer position that is dense within its group: ≤ ``rows`` rows each."""
+    return F.expr(f"`{position}` div {rows}")
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -44,15 +44,18 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: list[Runni
             chunk: Column | None = None) -> DataFrame:
     """Add every running value to ``df``.
 
-    ``chunk`` must grow with ``order``. Leave it out only for groups bounded by
-    one input row, such as the activities of one parsed plan.
+    ``chunk`` must grow with ``order`` and have few distinct values per group, such
+    as the hour. Leave it out only for groups bounded by one input row, such as the
+    activities of one parsed plan. The input is evaluated twice, so it must be
+    deterministic; sums of floats depend on the order of addition, sum decimals.
     """
     for v in values:
         df = df.withColumn(f"_v_{v.name}", v.value)
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         for v in values:
-            df = df.withColumn(v.name, _local(v, w))
+            local = _local(v, w)
+            df = df.withColumn(v.name, local["v"] if v.kind in ("prev", "next") else local)
         return df.drop(*[f"_v_{v.name}" for v in values])
 
     df = df.withColumn("_chunk", chunk)
@@ -84,9 +87,9 @@ def _local(v: Running, w) -> Column:
     if v.kind == "last":
         return F.last(x, ignorenulls=True).over(before)
     if v.kind == "prev":
-        return F.lag(x).over(w)
+        return F.lag(F.struct(x.alias("v"))).over(w)  # a null struct: no neighbour row here
     if v.kind == "next":
-        return F.lead(x).over(w)
+        return F.lead(F.struct(x.alias("v"))).over(w)
     raise ValueError(v.kind)
 
 
@@ -124,11 +127,4 @@ def _join_up(v: Running, local: Column, carry: Column) -> Column:
         return local + F.coalesce(carry, F.lit(0))
     if v.kind == "last":
         return F.coalesce(local, carry)
-    # The chunk's edge row takes its neighbour from the next chunk; the neighbour
-    # may itself hold null, so the edge is told by the missing neighbour row.
-    return F.when(local.isNotNull(), local).otherwise(F.when(_edge(v), carry["v"]))
-
-
-def _edge(v: Running) -> Column:
-    # replaced below: see ``running`` for how the edge row is found
-    return F.col(f"_e_{v.name}")
+    return F.when(local.isNotNull(), local["v"]).otherwise(carry["v"])

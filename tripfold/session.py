@@ -1,10 +1,8 @@
-"""Session settings and lineage cutting."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime settings the jobs rely on. Nothing here fixes a partition count: that
 # is the cluster's business, and adaptive execution coalesces or splits from it.
@@ -31,22 +29,3 @@ def get_session(app: str = "tripfold", **conf: str) -> SparkSession:
     for key, value in {**RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. A local master without
-    that setting gets a temporary one; a real cluster without it is an error,
-    because a machine-local folder would be lost with its executor.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tripfold-checkpoint-"))
-    return df.checkpoint()

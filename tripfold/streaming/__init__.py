@@ -1 +1 @@
-
+"""Streaming jobs; each has a batch form with the same rows."""
