@@ -18,11 +18,14 @@ the other; a null doc_id comes first and is given as -1; an empty table gives an
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +35,15 @@ from tripfold.llm.common import shared_folder, shuffle_parts
 END = 1  # id after each document
 SEGMENT = 1 << 20  # ids from which a segment ends with its document
 RANK = 512  # bits between two entries of a rank directory
-WORDS = 300_000  # words whose ids a worker remembers, at most
+WORDS = 800_000  # words whose ids a worker remembers, at most
+TEXTS = 2_048  # texts that are encoded together
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MAGIC = b"DACS"
+MARK = "<|startoftext|>"  # fixed value: a special token of the tokenizer
+MARKS = "".join(c for c in string.punctuation if c != "'")
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # fixed rule of byte-level vocabularies:
+_OTHER = [b for b in range(256) if b not in _SHOWN]  # bytes that print stand for themselves, the others follow from 256 on
+BYTE_CHARS = [chr(b) if b in _SHOWN else chr(256 + _OTHER.index(b)) for b in range(256)]
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint32)
 
 
@@ -98,24 +107,90 @@ _LOADED: dict = {}
 
 
 class _Encoder:
-    """Ids of texts. A space or line feed always ends a token, so words between them are encoded once each."""
+    """Ids of texts. A space or line feed always ends a token, so words between them are encoded once each.
+
+    Words are remembered in two generations of up to WORDS / 2: when the younger is full, it becomes the
+    older, and words that are used again move back into the younger.
+    """
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_str(source), {}
-
-    def __call__(self, texts: list) -> list:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.ids)
-        if len(self.ids) + len(new) > WORDS:
-            self.ids, new = {}, set().union(*split)
-        new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.ids.__getitem__, ws)) + end, "<u4") for ws in split]
+        self.tokenizer, self.young, self.old = Tokenizer.from_str(source), {}, {}
+        self.mark, self.model = self.tokenizer.token_to_id(MARK), self.tokenizer.model
+
+    def encode_each(self, words: list):
+        """Words and their ids; many words are one call, kept apart by a special token, which always stands alone."""
+        plain = []
+        for w in words:
+            if "<|" in w:
+                yield w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                plain.append(w)
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            ids = np.array(self.tokenizer.encode(MARK.join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            whole, at = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+            yield from zip(part, map(whole.__getitem__, map(slice, at, [*(cuts * 4).tolist(), len(whole)])))
+
+    def piece(self, low: str) -> bytes:
+        """Ids of one piece (a run of lower-case letters, or of marks), straight from the tokenizer's model."""
+        if not low.isascii():
+            low = "".join(map(BYTE_CHARS.__getitem__, low.encode()))
+        return np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
+
+    def learn(self, words: list) -> None:
+        """Sees to it that the younger generation has all the words.
+
+        Letters, then ASCII marks without an apostrophe: two pieces, cut just there by the tokenizer, which
+        lower-cases. They skip its general path, which other words take.
+        """
+        rest, young = [], self.young
+        for w in words:
+            if (ids := self.old.get(w)) is None:
+                base = w.rstrip(MARKS)
+                low = base.lower()
+                # a capital sigma is lower-cased by its place, and letters that compose aren't as they are
+                if not (base.isalpha() and low.isalpha() and (base.isascii() or ("Σ" not in base and unicodedata.is_normalized("NFC", base)))):
+                    rest.append(w)
+                    continue
+                ids = self.piece(low)
+                if len(base) < len(w):
+                    tail = w[len(base) :]
+                    if tail not in young:
+                        young[tail] = self.piece(tail)
+                    ids += young[tail]
+            young[w] = ids
+        young.update(self.encode_each(rest))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with its end id, and where each text's ids end.
+
+        Words are numbered by Arrow, so Python meets each distinct word of the texts once.
+        """
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.young) + len(words) > WORDS // 2:
+            self.young, self.old = {}, self.young
+        self.young[""] = b""
+        self.learn([w for w in words if w not in self.young])
+        known = [self.young[w] for w in words]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        table, begin = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        n = size[word]
+        before = np.cumsum(n) - n
+        total = int(n.sum())
+        place = np.arange(total)
+        ids = table[np.repeat(begin[word] - before, n) + place] if total else np.empty(0, "<u4")
+        first = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        per = np.add.reduceat(n, first) if len(first) else np.empty(0, np.int64)  # a text has a word at least, if an empty one
+        out = np.full(total + len(per), END, "<u4")
+        out[place + np.repeat(np.arange(len(per)), per)] = ids
+        return out, np.cumsum(per + 1)
 
 
 def _encoder(source: str) -> _Encoder:
@@ -138,17 +213,25 @@ def write_index(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> str:
         ids, docs, n = [], [], 0
 
         def done():
-            flat = np.concatenate(ids)
-            ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
-            values = [part, first, len(flat), np.array(docs, np.int64).tobytes(), ends.tobytes(), encoded(flat)]
+            flat, ends = np.concatenate([x for x, _ in ids]), []
+            for x, e in ids:
+                ends.append(e + (int(ends[-1][-1]) if ends else 0))
+            values = [part, first, len(flat), np.concatenate(docs).tobytes(), np.concatenate(ends).astype(np.int64).tobytes(), encoded(flat)]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["part", "first", "n", "doc_ids", "ends", "codes"])
 
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                rows = b.slice(k, 64)
-                for i, x in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
-                    ids.append(x), docs.append(i)
-                    n += len(x)
+            for k in range(0, b.num_rows, TEXTS):
+                rows = b.slice(k, TEXTS)
+                flat, ends = encode(rows.column(1))
+                who = rows.column(0).to_numpy().astype(np.int64)
+                at = 0
+                while at < len(ends):
+                    # whole documents until the segment has SEGMENT ids
+                    begin = int(ends[at - 1]) if at else 0
+                    to = min(len(ends), at + int(np.searchsorted(ends[at:], begin + SEGMENT - n)) + 1)
+                    ids.append((flat[begin : int(ends[to - 1])], ends[at:to] - begin)), docs.append(who[at:to])
+                    n += int(ends[to - 1]) - begin
+                    at = to
                     if n >= SEGMENT:
                         yield done()
                         first, ids, docs, n = first + n, [], [], 0
