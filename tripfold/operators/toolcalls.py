@@ -114,13 +114,10 @@ VALUE_RULES = {
 }
 
 
-def _broken(m: Column, rule: tuple) -> Column:
+def _broken(rule: tuple) -> Column:
     """Whether an argument that is there and not null breaks the rule."""
     kind, name, *more = rule
-    v = F.try_element_at(m, F.lit(name))
-    text = jsonx.as_text(v)
-    number = F.try_variant_get(v, "$", "double")
-    other = lambda n: F.try_element_at(m, F.lit(n))
+    text, number = F.try_element_at("_text", F.lit(name)), F.try_element_at("_number", F.lit(name))
     checks = {
         "filled": lambda: F.trim(text) == "",
         "city": lambda: ~F.coalesce(F.array_contains("_cities", name), F.lit(False)),
@@ -130,19 +127,24 @@ def _broken(m: Column, rule: tuple) -> Column:
         "one_of": lambda: ~text.isin(*more[0]),
         "range": lambda: (number < more[0]) | (F.lit(False) if more[1] is None else number > more[1]),
         "above": lambda: number <= more[0],
-        "ordered": lambda: F.coalesce(number > F.try_variant_get(other(more[0]), "$", "double"), text > jsonx.as_text(other(more[0])), F.lit(False)),
-        "needs": lambda: (text == more[0]) & F.coalesce(F.trim(jsonx.as_text(other(more[1]))) == "", F.lit(True)),
+        "ordered": lambda: F.coalesce(number > F.try_element_at("_number", F.lit(more[0])), text > F.try_element_at("_text", F.lit(more[0])), F.lit(False)),
+        "needs": lambda: (text == more[0]) & F.coalesce(F.trim(F.try_element_at("_text", F.lit(more[1]))) == "", F.lit(True)),
     }
-    return v.isNotNull() & (jsonx.variant_kind(v) != "null") & checks[kind]()
+    return text.isNotNull() & checks[kind]()
 
 
-def _wrong_type(m: Column, params: dict) -> Column:
+def _misfits(names: list, kinds: tuple) -> Column:
+    """The arguments among names whose kind is none of kinds."""
+    return F.map_filter("_kind", lambda k, v: k.isin(*names) & ~v.isin(*kinds))
+
+
+def _wrong_type(params: dict) -> Column:
     found = F.lit(False)
-    for name, (kind, nullable) in params.items():
-        v = F.try_element_at(m, F.lit(name))
-        is_ = jsonx.variant_kind(v)
-        fits = {"string": ("string",), "integer": ("integer", "boolean"), "number": ("integer", "number", "boolean")}[kind] + (("null",) if nullable else ())
-        found = found | (F.array_contains(F.map_keys(m), name) & ~F.coalesce(is_, F.lit("null")).isin(*fits))
+    for kind, fits in (("string", ("string",)), ("integer", ("integer", "boolean")), ("number", ("integer", "number", "boolean"))):
+        for nullable in (False, True):
+            names = [n for n, p in params.items() if p == (kind, nullable)]
+            if names:
+                found = found | (F.cardinality(_misfits(names, (*fits, "null") if nullable else fits)) > 0)
     return found
 
 
@@ -152,18 +154,24 @@ def validate_calls(calls: DataFrame, key: str, cities: DataFrame) -> DataFrame:
     cities(name): known place names; an argument names a city if it is one as it is or with a suffix.
     """
     named = sorted({r[1] for rules in VALUE_RULES.values() for r in rules if r[0] == "city"})
-    rows = calls.select(key, "tool", jsonx.strict_variant("arguments").alias("_v")).withColumn("_m", jsonx.as_map(F.col("_v")))
-    asked = rows.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), jsonx.as_text(F.try_element_at("_m", F.lit(n))).alias("t")) for n in named])).alias("_a")).where("_a.t is not null")
-    tried = asked.select(key, F.col("_a.n").alias("_n"), F.explode(F.array(F.col("_a.t"), *[F.concat(F.col("_a.t"), F.lit(s)) for s in fixed.CITY_TRY_SUFFIXES])).alias("name"))
+    v = calls.select(key, "tool", jsonx.strict_variant("arguments").alias("_v"))
+    m = v.select(key, "tool", F.col("_v").isNull().alias("_bad"), jsonx.as_map(F.col("_v")).alias("_m"))
+    kind = F.transform_values("_m", lambda k, x: F.coalesce(jsonx.variant_kind(x), F.lit("null")))
+    number = F.transform_values("_m", lambda k, x: F.try_variant_get(x, "$", "double"))
+    rows = m.select(key, "tool", "_bad", kind.alias("_kind"), F.transform_values("_m", lambda k, x: jsonx.as_text(x)).alias("_text"), number.alias("_number"))
+    asked = rows.select(key, F.explode(F.map_entries(F.map_filter("_text", lambda k, x: k.isin(*named) & x.isNotNull()))).alias("_a"))
+    tried = asked.select(key, F.col("_a.key").alias("_n"), F.explode(F.array(F.col("_a.value"), *[F.concat(F.col("_a.value"), F.lit(s)) for s in fixed.CITY_TRY_SUFFIXES])).alias("name"))
     good = tried.join(cities.select("name").distinct(), "name", "left_semi").groupBy(key).agg(F.collect_set("_n").alias("_cities"))  # a few names a call
     full = rows.join(good, key, "left")
-    code = F.when(F.col("_v").isNull(), "bad_json").when(F.col("_m").isNull(), "not_an_object").when(~F.col("tool").isin(*fixed.TOOL_NAMES), "unknown_tool")
+    code = F.when(F.col("_bad"), "bad_json").when(F.col("_kind").isNull(), "not_an_object").when(~F.col("tool").isin(*fixed.TOOL_NAMES), "unknown_tool")
     for tool in fixed.TOOL_NAMES:
-        params, mine, m = fixed.TOOL_PARAMS[tool], F.col("tool") == tool, F.col("_m")
-        keys = F.map_keys(m)
-        code = code.when(mine & (F.size(F.array_except(keys, F.array(*map(F.lit, params)))) > 0), "unknown_argument")
-        code = code.when(mine & (F.size(F.array_except(F.array(*map(F.lit, fixed.TOOL_REQUIRED[tool])), keys)) > 0), "missing_argument")
-        code = code.when(mine & _wrong_type(m, params), "wrong_type")
+        params, mine, keys = fixed.TOOL_PARAMS[tool], F.col("tool") == tool, F.map_keys("_kind")
+        own = (
+            F.when(F.size(F.array_except(keys, F.array(*map(F.lit, params)))) > 0, "unknown_argument")
+            .when(F.size(F.array_except(F.array(*map(F.lit, fixed.TOOL_REQUIRED[tool])), keys)) > 0, "missing_argument")
+            .when(_wrong_type(params), "wrong_type")
+        )
         for rule in VALUE_RULES[tool]:
-            code = code.when(mine & _broken(m, rule), f"{rule[0]}:{rule[1]}")
-    return full.select(key, code.isNull().alias("ok"), code.alias("code"))
+            own = own.when(_broken(rule), f"{rule[0]}:{rule[1]}")
+        code = code.when(mine, own)
+    return full.withColumn("code", code).select(key, F.col("code").isNull().alias("ok"), "code")

@@ -121,15 +121,15 @@ def q_semi(spark, sf_dir):
 _ARGUMENTS = (
     ("maps_geo", '{"address":"x"}', None), ("maps_geo", '{"address":" "}', "filled:address"), ("maps_geo", '{"address":1}', "wrong_type"), ("maps_geo", "{}", "missing_argument"),
     ("maps_geo", '{"address":"x","zip":1}', "unknown_argument"), ("maps_geo", '["x"]', "not_an_object"), ("maps_geo", '{"address":', "bad_json"),
-    ("maps_weather", '{"location":"CHINA","date":"2025-02-28","days":4}', None), ("maps_weather", '{"location":"CHINA","date":"2025-02-30"}', "date:date"),
-    ("maps_weather", '{"location":"Nowhere","date":"2025-02-28"}', "city:location"), ("maps_weather", '{"location":"CHINA","date":"2025-02-28","days":5}', "range:days"),
-    ("travel_search_trains", '{"origin":"CHINA","destination":"JAPAN","date":"2025-01-01","depart_time_start":"10:00","depart_time_end":"09:00"}', "ordered:depart_time_start"),
-    ("travel_search_trains", '{"origin":"CHINA","destination":"JAPAN","date":"2025-01-01","train_type_filter":"fast"}', "one_of:train_type_filter"),
-    ("travel_search_flights", '{"origin":"CHINA","destination":"JAPAN","date":"2025-01-01","depart_time_end":"24:00"}', "clock:depart_time_end"),
-    ("web_search", '{"query":null}', "wrong_type"), ("search_poi", '{"keywords":"x","city":"CHINA","page_size":21}', "range:page_size"),
-    ("search_poi", '{"keywords":"x","city":"CHINA","price_min":5,"price_max":4}', "ordered:price_min"), ("search_poi", '{"keywords":"x","city":"CHINA","location":"190.5,3"}', "place:location"),
-    ("search_poi", '{"keywords":"x","city":"CHINA","radius_km":null,"location":"120.5, 30"}', None), ("get_poi_detail", '{"id":"7"}', None),
-    ("plan_route", '{"origin":"a","destination":"b","mode":"transit"}', "needs:mode"), ("plan_route", '{"origin":"a","destination":"b","mode":"transit","city":"JAPAN"}', None),
+    ("maps_weather", '{"location":"NATION_1","date":"2025-02-28","days":4}', None), ("maps_weather", '{"location":"NATION_1","date":"2025-02-30"}', "date:date"),
+    ("maps_weather", '{"location":"Nowhere","date":"2025-02-28"}', "city:location"), ("maps_weather", '{"location":"NATION_1","date":"2025-02-28","days":5}', "range:days"),
+    ("travel_search_trains", '{"origin":"NATION_1","destination":"NATION_2","date":"2025-01-01","depart_time_start":"10:00","depart_time_end":"09:00"}', "ordered:depart_time_start"),
+    ("travel_search_trains", '{"origin":"NATION_1","destination":"NATION_2","date":"2025-01-01","train_type_filter":"fast"}', "one_of:train_type_filter"),
+    ("travel_search_flights", '{"origin":"NATION_1","destination":"NATION_2","date":"2025-01-01","depart_time_end":"24:00"}', "clock:depart_time_end"),
+    ("web_search", '{"query":null}', "wrong_type"), ("search_poi", '{"keywords":"x","city":"NATION_1","page_size":21}', "range:page_size"),
+    ("search_poi", '{"keywords":"x","city":"NATION_1","price_min":5,"price_max":4}', "ordered:price_min"), ("search_poi", '{"keywords":"x","city":"NATION_1","location":"190.5,3"}', "place:location"),
+    ("search_poi", '{"keywords":"x","city":"NATION_1","radius_km":null,"location":"120.5, 30"}', None), ("get_poi_detail", '{"id":"7"}', None),
+    ("plan_route", '{"origin":"a","destination":"b","mode":"transit"}', "needs:mode"), ("plan_route", '{"origin":"a","destination":"b","mode":"transit","city":"NATION_2"}', None),
     ("compare_routes", '{"origin":"120.1,30.2,1","destination":"b"}', "place:origin"), ("search_along_route", '{"origin":"a","destination":"b","keywords":"x","mode":"driving","route_range":3001}', "range:route_range"),
 )
 
