@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 
 from tripfold.functions import fixed
 
-TRIAL = Window.partitionBy("trial")
-ORDER = TRIAL.orderBy("seq")
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-UP_TO = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_trial():
+    return Window.partitionBy("trial")
+
+
+def in_order():
+    return in_trial().orderBy("seq")
 
 
 def last_outward(history: DataFrame, outward: Column) -> DataFrame:
@@ -26,7 +29,7 @@ def last_outward(history: DataFrame, outward: Column) -> DataFrame:
 
 def before_last(history: DataFrame, message: Column) -> DataFrame:
     """The entries before each trial's last message; that one and what follows it go."""
-    return history.withColumn("_last", F.max(F.when(message, F.col("seq"))).over(TRIAL)).where("seq < _last").drop("_last")
+    return history.withColumn("_last", F.max(F.when(message, F.col("seq"))).over(in_trial())).where("seq < _last").drop("_last")
 
 
 def unseen(history: DataFrame, speaker: str) -> DataFrame:
@@ -38,7 +41,7 @@ def unseen(history: DataFrame, speaker: str) -> DataFrame:
 
 def solicited(history: DataFrame, mentioned: Column) -> DataFrame:
     """C14: users' entries, and whether the entry before is the Agent's and mentions the speaker."""
-    asked = F.lag(F.struct(F.col("speaker").alias("s"), mentioned.alias("m"))).over(ORDER)
+    asked = F.lag(F.struct(F.col("speaker").alias("s"), mentioned.alias("m"))).over(in_order())
     ok = F.coalesce((F.col("_p.s") == fixed.AGENT) & (F.col("_p.m") == F.col("speaker")), F.lit(False))
     return history.withColumn("_p", asked).withColumn("solicited", ok).where(F.col("speaker") != fixed.AGENT).drop("_p")
 
@@ -50,8 +53,8 @@ def latest(history: DataFrame, ok: Column, value: Column) -> DataFrame:
 
 def merged_turns(history: DataFrame, side: Column) -> DataFrame:
     """Neighbouring entries of one side become a turn; their texts are joined by line feeds."""
-    turn = F.sum(F.when(F.col("_before") == F.col("_side"), 0).otherwise(1)).over(UP_TO)
-    cut = history.withColumn("_side", side).withColumn("_before", F.lag("_side").over(ORDER)).withColumn("turn", turn)
+    turn = F.sum(F.when(F.col("_before") == F.col("_side"), 0).otherwise(1)).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    cut = history.withColumn("_side", side).withColumn("_before", F.lag("_side").over(in_order())).withColumn("turn", turn)
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), "\n")
     return cut.groupBy("trial", "turn").agg(F.first("_side").alias("side"), F.min("seq").alias("first_seq"), F.count("*").alias("n"), told.alias("content"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Runtime settings the jobs rely on. Nothing here fixes a partition count: that
@@ -29,3 +33,18 @@ def get_session(app: str = "tripfold", **conf: str) -> SparkSession:
     for key, value in {**RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the package to the executors, once for each context, as a zip that Spark hands out itself."""
+    context = spark.sparkContext
+    if getattr(context, "_tripfold_shipped", False):
+        return spark
+    package = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="tripfold-code-")) / "tripfold.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._tripfold_shipped = True
+    return spark
