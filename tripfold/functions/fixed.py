@@ -15,7 +15,6 @@ FALLBACK_CATEGORIES = {"attractions": "公园", "food": "中餐", "hotels": "商
 # --- administrative names ---------------------------------------------------
 CITY_KEY_SUFFIXES = ("市", "区", "县", "自治州", "地区")
 CITY_TRY_SUFFIXES = ("市", "省", "区", "县", "州", "盟", "旗", "地区")
-TERMINAL_SUFFIXES = ("省", "市", "区", "县", "旗", "盟", "州", "地区", "林区", "特区")
 PLACEHOLDER_SUFFIX = "市辖区"
 
 # --- preference paths -------------------------------------------------------
@@ -26,45 +25,21 @@ CANONICAL_SEGMENTS = (
 )
 PATH_PREFIXES = ("global_constraints.", "city_specific_preferences.")
 MAX_EDITS_PER_USER = 2
-SCALAR_PATHS = ("avg_budget", "intensity.max_poi_per_day", "intensity.max_active_hours")
-GLOBAL_LIST_PATHS = (
-    "transport.must", "transport.prefer", "transport.avoid", "transport.reject",
-    "hotel_preference.prefer", "hotel_preference.avoid",
-)
-CITY_LIST_PATHS = (
-    "attractions.must_visit", "attractions.reject_visit",
-    "attractions.category_pref.positive", "attractions.category_pref.negative",
-    "food.must_eat", "food.prefer_eat", "food.avoid_eat", "food.reject_eat",
-)
 
 # --- activities -------------------------------------------------------------
 SPLITTABLE_TYPES = ("attraction", "food", "rest", "intracity_transport")
-PLACED_TYPES = ("attraction", "food", "hotel")
 STRONG, WEAK = 2, 1
 
 # --- run settings and failures ----------------------------------------------
 AGENT = "Agent"
 DIFFICULTY_SETTINGS = {"easy": (15, 3), "medium": (20, 4), "hard": (25, 5)}
 RETRYABLE_REASONS = ("rate_limit", "connection_error")
-TASK_ERRORS = {
-    "query": "Input data must contain 'query' field",
-    "user_preferences": "Input data must contain non-empty 'user_preferences'",
-    "initial_messages": "Input data must contain a non-empty 'initial_messages' field "
-                        "(one opening statement per user).",
-}
-ERR_NO_REFERENCE = "inference failed (no effective_preferences)"
-ERR_NO_PLAN = "plan not generated"
-ERR_NO_EXTRACT = "failed to extract plan from conversation"
-EMPTY_RESULT = "没有找到相关信息，请确认输入参数是否正确；如无误，可能当前暂无相关数据"
 
 # --- chat text --------------------------------------------------------------
 PASS_TOKEN = "[pass]"
 PLACEHOLDER_START = "(对话开始)"
 PLACEHOLDER_SILENT = "(其他参与者暂无发言)"
-JUDGE_CUT = 2000
 JUDGE_CUT_MARK = "\n  ... (结果已截断)"
-JUDGE_TOOL_NOTE = "[Agent]: (调用工具，见下方)"
-NO_PREFERENCES = "（无参考偏好数据）"
 
 # The syntax of a fenced block, of trailing pass tokens and of a trailing edit marker. ``\z`` is the
 # true end of text in Java, ``(?d)`` keeps "." from stopping at anything but a line feed.
@@ -79,8 +54,6 @@ JUDGE_DIMENSIONS = (
     "hallucination_factuality", "tool_usage_reasoning", "interaction_quality",
     "conflict_coordination", "plan_humanization",
 )
-META_TAG = "meta_evaluation"
-JUDGE_ATTEMPTS = 10
 EXAMPLES_PER_MISS = 8
 
 # --- tool arguments: name -> (type, may be null) ----------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripfold.functions import fixed
+
 
 def mean(x: Column) -> Column:
     """The average of an exact decimal, as one division of doubles."""
@@ -42,6 +44,25 @@ def expand(tasks: DataFrame, n: int) -> DataFrame:
     return tasks.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+def with_settings(tasks: DataFrame, difficulty: str) -> DataFrame:
+    """The run's settings of each task by difficulty; the ones of the middle where it isn't known."""
+    known = fixed.DIFFICULTY_SETTINGS
+    pick = lambda i: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in known.items() for x in (k, v[i])]), F.col(difficulty)), F.lit(known["medium"][i]))
+    return tasks.withColumn("max_turn", pick(0)).withColumn("interval", pick(1))
+
+
+def purge_retryable(results: DataFrame, reason: str) -> DataFrame:
+    """Results but those that failed for a reason that may pass."""
+    return results.where(~F.coalesce(F.col(reason).isin(*fixed.RETRYABLE_REASONS), F.lit(False)))
+
+
+def gate(runs: DataFrame) -> DataFrame:
+    """A1: why a trial has no scores, the first that holds: a failed run, no reference, no plan, a plan that can't
+    be read. runs(success, reference, planned, plan); error is null where all scores count."""
+    error = F.when(~F.coalesce("success", F.lit(False)), "run_failed").when(F.col("reference").isNull(), "no_reference")
+    return runs.withColumn("error", error.when(~F.coalesce("planned", F.lit(False)), "no_plan").when(F.col("plan").isNull(), "plan_unreadable"))
+
+
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of wanted whose keys aren't among done."""
     return wanted.join(done.select(keys).distinct(), keys, "left_anti")
@@ -50,8 +71,7 @@ def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def shares(df: DataFrame, value: str) -> DataFrame:
     """How often each value occurs, and its share of all rows."""
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(value, "n", (F.col("n").cast("double") / F.col("total")).alias("share"))  # one row
+    return counts.select(value, "n", (F.col("n").cast("double") / df.count()).alias("share"))
 
 
 RATE_BUCKETS = ("0", "(0,.25]", "(.25,.5]", "(.5,.75]", "(.75,1]")

@@ -65,10 +65,10 @@ his AS (SELECT conv_id AS trial, turn AS seq, CASE role WHEN 'assistant' THEN 'A
 def calls(spark, sf_dir: str) -> DataFrame:
     """Events as tool calls: trial, seq, tool, arguments; early: the first half by id, which fills the cache."""
     e = table(spark, sf_dir, "events")
-    half = e.agg(((F.max("event_id") + 1) / 2).alias("_half"))
-    return e.crossJoin(F.broadcast(half)).select(  # one row
+    half = ((e.agg(F.max("event_id")).first()[0] or 0) + 1) / 2
+    return e.select(
         F.col("user_id").alias("trial"), F.col("ts"), F.col("event_id").alias("seq"), F.hour("ts").alias("hr"), F.to_date("ts").alias("d"),
-        F.col("event_type").alias("tool"), F.col("props").alias("arguments"), (F.col("event_id") < F.col("_half")).alias("early"), F.col("value"),
+        F.col("event_type").alias("tool"), F.col("props").alias("arguments"), (F.col("event_id") < half).alias("early"), F.col("value"),
     )
 
 

@@ -244,7 +244,7 @@ def q_rating(spark, sf_dir):
   CASE WHEN doc_id % 3 = 2 AND dim = 'plan_humanization' THEN NULL ELSE CAST(quality + 4 AS VARCHAR) END AS rating FROM labels, (VALUES ('interaction_quality'), ('plan_humanization')) t(dim)""")
 def q_tags(spark, sf_dir):
     """Responses with comments, fences, spaces within tags, bare brackets and a missing dimension."""
-    dims = ("interaction_quality", "plan_humanization")
+    dims = (fixed.JUDGE_DIMENSIONS[2], fixed.JUDGE_DIMENSIONS[4])
     one = lambda d: F.concat(F.lit(f"< {d} ><!-- <rating>0</rating> --><reasoning>a < b</reasoning><rating> "), (F.col("quality") + 4).cast("string"), F.lit(f"</rating></{d} >"))
     m = F.col("doc_id") % 3
     body = F.when(m == 2, one(dims[0])).otherwise(F.concat(one(dims[0]), one(dims[1])))

@@ -76,6 +76,32 @@ def q_resume(spark, sf_dir):
     return R.pending(wanted, done, ["task", "trial"])
 
 
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 25 WHEN '5-LOW' THEN 15 ELSE 20 END AS max_turn, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '5-LOW' THEN 3 ELSE 4 END AS interval FROM orders")
+def q_settings(spark, sf_dir):
+    """Urgent orders are hard, low ones easy, the middle ones of no known difficulty."""
+    p = F.col("o_orderpriority")
+    kind = F.when(p == "1-URGENT", "hard").when(p == "5-LOW", "easy").when(p == "3-MEDIUM", "medium")
+    return R.with_settings(table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("k")), "k").drop("k")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 NOT IN (1, 2)")
+def q_purge(spark, sf_dir):
+    """Every fourth run hit a rate limit, every fourth a broken connection, every fourth has no reason."""
+    m = F.col("o_orderkey") % 4
+    reason = F.when(m == 1, "rate_limit").when(m == 2, "connection_error").when(m == 3, "done")
+    return R.purge_retryable(table(spark, sf_dir, "orders").select("o_orderkey", reason.alias("reason")), "reason").drop("reason")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'run_failed' WHEN o_custkey % 5 = 0 THEN 'no_reference' WHEN o_orderkey % 3 = 0 THEN 'no_plan' WHEN o_orderkey % 7 = 0 THEN 'plan_unreadable' END AS error FROM orders")
+def q_gate(spark, sf_dir):
+    """A1."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_orderstatus") != "F").alias("success"), F.when(F.col("o_custkey") % 5 != 0, F.lit("{}")).alias("reference"),
+        (F.col("o_orderkey") % 3 != 0).alias("planned"), F.when(F.col("o_orderkey") % 7 != 0, F.lit("{}")).alias("plan"),
+    )
+    return R.gate(o).select("o_orderkey", "error")
+
+
 _LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "overall")
 _SUMMARY = f"""WITH {TRIALS}, s AS (SELECT coalesce(difficulty, 'overall') AS grp, CAST(sum(score) AS DOUBLE) / count(score) AS avg_score,
   CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) AS DOUBLE) AS failed FROM trl GROUP BY GROUPING SETS ((), (difficulty)))"""

@@ -1 +1 @@
-
+"""Readers and writers of the run's tables."""
