@@ -94,9 +94,18 @@ def sieve(ids: DataFrame):
         for k in range(0, len(out), step):
             yield pa.RecordBatch.from_pydict({"at": [k], "part": [out[k : k + step].tobytes()]})
 
-    # at most SIEVE / 8 bytes from each of a few tasks
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in ids.coalesce(8).mapInArrow(mark, "at long, part binary").toLocalIterator():
+    def merged(batches):
+        parts: dict = {}
+        for b in batches:
+            for at, part in zip(*(c.to_pylist() for c in b.columns)):
+                part = np.frombuffer(part, np.uint8)
+                parts[at] = parts[at] | part if at in parts else part
+        for at, part in parts.items():
+            yield pa.RecordBatch.from_pydict({"at": [at], "part": [part.tobytes()]})
+
+    # SIEVE / 8 bytes at most, from each of a few tasks and then to the driver
+    whole, schema = np.zeros(bits // 8, np.uint8), "at long, part binary"
+    for r in ids.coalesce(8).mapInArrow(mark, schema).repartition(8, "at").mapInArrow(merged, schema).toLocalIterator():
         part = np.frombuffer(r["part"], np.uint8)
         whole[r["at"] : r["at"] + len(part)] |= part
     return ids.sparkSession.sparkContext.broadcast(whole)
@@ -201,11 +210,11 @@ def links_within(ids: np.ndarray, sets: list, side: np.ndarray, percent: int) ->
             ok &= side != side[x]
         return np.flatnonzero(ok)
 
-    # one after another, from the middle size outwards; the largest label's sets needn't look for one another
-    for x in sorted(range(len(sets)), key=lambda i: abs(i - len(sets) // 2))[:1]:
-        join(x, partners(x))
-    for x in range(len(sets)):
-        if label[x] != np.bincount(label).argmax():
+    # what is connected to the set of middle size needn't look for partners: of two sets that link, the one that
+    # isn't connected to it at its turn has looked, and if both are, they are in one component
+    middle = len(sets) // 2
+    for x in [middle, *range(len(sets))]:
+        if x == middle or label[x] != label[middle]:
             join(x, partners(x))
     return found
 
@@ -263,20 +272,20 @@ SMALL = 1_000_000  # ids that may be broadcast (8 bytes each)
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays,
-    one row if that doc_id is repeated."""
+    one row if that doc_id is repeated. Rows without a doc_id stay."""
     found = stored(ngram_jaccard_join(docs, words, percent))
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
 
     def held(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= SMALL else ids
 
-    drop, same = stored(drop), docs["doc_id"] == F.col("_id")
-    kept = docs.join(held(drop), same, "left_anti")
+    kept = docs.join(held(stored(drop)), "doc_id", "left_anti").select(docs.columns)
     repeated = stored(repeated)
     if not repeated.isEmpty():
         again = held(repeated)
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+        kept = kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
     return kept
 
 
