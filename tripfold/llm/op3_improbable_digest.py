@@ -14,8 +14,8 @@ each byte occurs. Sums are of integers, so equal windows have equal entropies wh
 The next document is found by range-partitioning once by doc_id: parts are cut at bounds of the ids, and
 the first row of a part also goes to the part before. No task sees more than a part.
 
-Cases: a null text is the empty one; texts shorter than a window are one feature, padded; an empty text has
-no feature, its likeness is 1 to another without features and 0 to the rest; of a single document the
+Cases: a null text is the empty one; in texts of less than SHORT bytes, too few to choose from, every window
+of SMALL bytes is a feature (one padded window in the shortest); an empty text has no feature, its likeness is 1 to another without features and 0 to the rest; of a single document the
 next is itself; rows with equal ids follow one another by text; an empty table gives no rows.
 """
 
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tripfold.llm.common import bounds_of, mixed, shuffle_parts
 
 WINDOW, NEAR, VOTES = 32, 32, 8
+SHORT, SMALL = 4 * WINDOW, 8  # bytes of a short text, and of the windows that are its features, all of them
 BITS, FEATURES, HASHES = 2048, 128, 5
 LEVELS = 1 << 10  # steps of entropy
 _G = np.rint(np.r_[0, np.arange(1, WINDOW + 2) * np.log2(np.arange(1, WINDOW + 2))] * (1 << 20)).astype(np.int64)  # c log c
@@ -58,8 +59,9 @@ def features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """64-bit hashes of a text's features, in order. rank: of each entropy step, low for rare ones."""
     if not len(data):
         return np.empty(0, np.uint64)
-    if len(data) < WINDOW:
-        windows = np.concatenate([data, np.zeros(WINDOW - len(data), np.uint8)])[None]
+    if len(data) < SHORT:
+        padded = np.concatenate([data, np.zeros(max(0, SMALL - len(data)), np.uint8)])
+        windows = padded[np.arange(len(padded) - SMALL + 1)[:, None] + np.arange(SMALL)]
     else:
         r = rank[entropies(data)]
         n = len(r)
