@@ -25,7 +25,7 @@ from tripfold.llm.common import shuffle_parts, stored
 
 WEIGHTS = (1, 2, 3)  # of the sources in code-point order, repeating
 REPEATS = 3  # a document is taken so often at most
-SLICE = 50_000  # rows of a slice
+SLICE = 10_000  # rows of a slice
 SEED = 17
 
 
@@ -125,7 +125,8 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken. Rows of one doc_id are alike in source and
     text or taken by the largest number of any of them."""
     often = queue(docs).where("_n > 0").groupBy("doc_id").agg(F.max("_n").alias("_n"))
-    return docs.join(often, "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(docs.columns)
+    times = often.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_mix_round")).drop("_mix_round")
+    return docs.join(times, "doc_id").select(docs.columns)
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:
