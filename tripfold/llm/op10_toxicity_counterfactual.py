@@ -174,7 +174,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; labels of the held-out fold aren't used."""
     model = train(docs, labels, lambda c: crc_mod(c, 5) != 0)
     return score(docs, model).select(
-        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
+        "doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )
 
 
