@@ -95,3 +95,51 @@ def judge_fields(df: DataFrame, key: str, response: str, dims: tuple) -> DataFra
 def dimension_stats(scores: DataFrame, dim: str, score: str) -> DataFrame:
     """Mean, least, greatest and number of each dimension's scores, nulls left out."""
     return scores.groupBy(dim).agg((F.sum(score).cast("double") / F.count(score)).alias("mean"), F.min(score).alias("lo"), F.max(score).alias("hi"), F.count(score).alias("n"))
+
+
+def is_plan(plan: Column) -> Column:
+    """Whether a VARIANT is a plan: a non-empty list of days, the first an object with a non-empty list of segments."""
+    days = F.try_variant_get(plan, "$.days", "array<variant>")
+    segments = F.try_variant_get(plan, "$.days[0].city_segments", "array<variant>")
+    return F.coalesce((F.size(days) > 0) & (F.size(segments) > 0), F.lit(False))
+
+
+def is_preference_table(table: Column) -> Column:
+    """Whether a VARIANT is an object whose every value is an object with one of the two sections at least."""
+    m = F.try_variant_get(table, "$", "map<string,variant>")
+    sections = [p.rstrip(".") for p in fixed.PATH_PREFIXES]
+    inner = lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    good = F.forall(F.map_values(m), lambda v: F.coalesce(F.arrays_overlap(inner(v), F.array(*map(F.lit, sections))), F.lit(False)))
+    return F.coalesce((F.cardinality(m) > 0) & good, F.lit(False))
+
+
+def category_scores(visits: DataFrame, wishes: DataFrame) -> DataFrame:
+    """Per visit +1 or -1: a liked name or category, a disliked one; a name counts before a category.
+
+    visits(visit, person, place, category), only resolved places; wishes(person, positive, negative).
+    """
+    named = lambda xs: F.exists(xs, lambda x: F.contains("place", x))
+    kind = lambda xs: F.coalesce(F.array_contains(xs, F.col("category")), F.lit(False))
+    score = (
+        F.when(named("positive"), fixed.WEAK).when(named("negative"), -fixed.WEAK)
+        .when(kind("positive"), fixed.WEAK).when(kind("negative"), -fixed.WEAK)
+    )
+    return visits.where("category is not null").join(wishes, "person").withColumn("score", score).where("score is not null").select("visit", "person", "score")
+
+
+DIMENSIONS = ("attraction", "food", "transport", "hotel", "intensity", "budget")
+
+
+def utility(items: DataFrame, penalties: DataFrame, people: DataFrame) -> DataFrame:
+    """For each trial the score of each dimension, all scores, the penalty, the total less it and its share a person.
+
+    items(trial, person, dimension, score); penalties(trial, penalty); people(trial, person).
+    """
+    n = people.groupBy("trial").agg(F.count("*").alias("people"))
+    by = items.groupBy("trial").pivot("dimension", list(DIMENSIONS)).agg(F.sum("score"))
+    lost = penalties.groupBy("trial").agg(F.sum("penalty").alias("penalty"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = n.join(by, "trial", "left").join(lost, "trial", "left")
+    out = out.select("trial", "people", *[zero(d).alias(d) for d in DIMENSIONS], zero("penalty").alias("penalty"))
+    out = out.withColumn("total", sum((F.col(d) for d in DIMENSIONS[1:]), F.col(DIMENSIONS[0])) - F.col("penalty"))
+    return out.withColumn("utility", F.col("total").cast("double") / F.col("people"))

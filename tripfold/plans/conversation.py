@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tripfold.functions import fixed, jsonx, text
 from tripfold.operators import conversation as C
+from tripfold.operators import scoring as S
 from tripfold.plans.adapters import HISTORY, history
 
 QUERIES, SQL = {}, {}
@@ -168,3 +169,27 @@ def q_validtasks(spark, sf_dir):
     """Trials without an opening message are refused, with the reason."""
     g = _his(spark, sf_dir).groupBy("trial").agg(F.bool_or(F.col("speaker") == "User1").alias("valid"))
     return g.withColumn("error", F.when(~F.col("valid"), "initial_messages"))
+
+
+_PLAN = """p AS (SELECT trial, seq, speaker, seq % 4 AS m FROM his)"""
+
+
+@query(f"WITH {HISTORY}, {_PLAN} SELECT trial, max(seq) AS seq, arg_max(concat('{{\"days\":[{{\"city_segments\":[{{\"n\":', CAST(seq AS VARCHAR), '}}]}}]}}'), seq) AS plan FROM p WHERE speaker = 'Agent' AND m < 2 GROUP BY trial")
+def q_finalplan(spark, sf_dir):
+    """The latest plan that parses and has the shape of one; a fence or none, no segments, no JSON."""
+    n, m = F.col("seq").cast("string"), F.col("seq") % 4
+    body = F.concat(F.lit('{"days":[{"city_segments":['), F.when(m == 2, "").otherwise(F.concat(F.lit('{"n":'), n, F.lit("}"))), F.lit("]}]"), F.when(m == 3, "").otherwise("}"))
+    said = F.when(m == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nok?"))).otherwise(F.concat(F.lit("Here: "), body, F.lit(" ok?")))
+    h = _his(spark, sf_dir).withColumn("content", said).withColumn("_plan", text.embedded_json("content", "days"))
+    return C.latest(h, (F.col("speaker") == "Agent") & S.is_plan(F.try_parse_json("_plan")), F.col("_plan")).withColumnRenamed("value", "plan")
+
+
+@query(f"WITH {HISTORY} SELECT trial, seq, seq % 4 = 0 AS ok FROM his")
+def q_prefs(spark, sf_dir):
+    """Tables of every user's sections; a user without any, a value that is no object, an empty table."""
+    m = F.col("seq") % 4
+    said = (
+        F.when(m == 0, '{"U1":{"global_constraints":{}},"U2":{"city_specific_preferences":{"X":{}},"more":1}}')
+        .when(m == 1, '{"U1":{"global_constraints":{}},"U2":{"more":1}}').when(m == 2, '{"U1":{"global_constraints":{}},"U2":3}').otherwise("{}")
+    )
+    return _his(spark, sf_dir).select("trial", "seq", S.is_preference_table(F.try_parse_json(said)).alias("ok"))

@@ -265,3 +265,31 @@ def q_dist(spark, sf_dir):
     from tripfold.operators.rollup import distribution
 
     return distribution(table(spark, sf_dir, "labels").withColumn("s", 2 * F.col("quality") + F.col("toxic") + 1), "s")
+
+
+@query(f"""WITH {ACTIVITIES}, v AS (SELECT ix AS visit, usr AS person, loc, CASE usr % 3 WHEN 0 THEN NULL WHEN 1 THEN 'park' ELSE 'museum' END AS cat FROM evt WHERE typ = 'attraction')
+SELECT * FROM (SELECT visit, person, CASE WHEN contains(loc, '7') THEN 1 WHEN contains(loc, '8') THEN -1 WHEN cat = 'museum' THEN 1 WHEN cat = 'park' AND person % 2 = 0 THEN -1 END AS score FROM v WHERE cat IS NOT NULL) WHERE score IS NOT NULL""")
+def q_catscore(spark, sf_dir):
+    """U2."""
+    m = F.col("usr") % 3
+    v = activities(spark, sf_dir).where("typ = 'attraction'").select(F.col("ix").alias("visit"), F.col("usr").alias("person"), F.col("loc").alias("place"), F.when(m == 1, "park").when(m == 2, "museum").alias("category"))
+    text_ = lambda *x: F.array(*map(F.lit, x))
+    wishes = v.select("person").distinct().select("person", text_("7", "museum").alias("positive"), F.when(F.col("person") % 2 == 0, text_("8", "park")).otherwise(text_("8")).alias("negative"))
+    return S.category_scores(v, wishes)
+
+
+_DIMENSION = "CASE typ WHEN 'attraction' THEN 'attraction' WHEN 'food' THEN 'food' WHEN 'hotel' THEN 'hotel' WHEN 'intracity_transport' THEN 'transport' ELSE 'budget' END"
+
+
+@query(f"""WITH {ACTIVITIES}, i AS (SELECT d AS trial, usr, {_DIMENSION} AS dim, CASE ix % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE -2 END AS s FROM evt), n AS (SELECT trial, count(DISTINCT usr) AS people FROM i GROUP BY trial),
+p AS (SELECT d AS trial, count(*) AS penalty FROM evt WHERE typ = 'rest' AND ix % 5 = 0 GROUP BY d),
+t AS (SELECT n.trial, people, {', '.join(f"CAST(coalesce((SELECT sum(s) FROM i WHERE i.trial = n.trial AND dim = '{x}'), 0) AS BIGINT) AS {x}" for x in S.DIMENSIONS)}, coalesce(penalty, 0) AS penalty FROM n LEFT JOIN p ON p.trial = n.trial)
+SELECT *, {' + '.join(S.DIMENSIONS)} - penalty AS total, CAST({' + '.join(S.DIMENSIONS)} - penalty AS DOUBLE) / people AS utility FROM t""")
+def q_utility(spark, sf_dir):
+    """A day is a trial; scores by rule."""
+    a = activities(spark, sf_dir)
+    kind = F.when(F.col("typ").isin("attraction", "food", "hotel"), F.col("typ")).when(F.col("typ") == "intracity_transport", "transport").otherwise("budget")
+    m = F.col("ix") % 4
+    items = a.select(F.col("d").alias("trial"), F.col("usr").alias("person"), kind.alias("dimension"), F.when(m == 0, 2).when(m == 1, 1).when(m == 2, -1).otherwise(-2).alias("score"))
+    lost = a.where("typ = 'rest' and ix % 5 = 0").select(F.col("d").alias("trial"), F.lit(1).alias("penalty"))
+    return S.utility(items, lost, items.select("trial", "person").distinct())

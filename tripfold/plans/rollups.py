@@ -179,3 +179,20 @@ def q_window(spark, sf_dir):
     from tripfold.streaming.jobs import missed_per_window
 
     return missed_per_window(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour").select(F.col("start").alias("hour"), F.col("event_type").alias("tool"), "missed")
+
+
+@query(f"""WITH {TRIALS}, m AS (SELECT task, difficulty, coalesce(CAST(sum(score) AS DOUBLE) / count(score), 0) AS judge FROM trl GROUP BY task, difficulty)
+SELECT coalesce(difficulty, 'overall') AS grp, CAST(sum(CAST(floor(judge * 1000000) AS BIGINT)) AS DOUBLE) / 1000000.0::DOUBLE / count(*) AS judge, count(*) AS tasks FROM m GROUP BY GROUPING SETS ((), (difficulty))""")
+def q_judgegroup(spark, sf_dir):
+    """The mean of a task's judged trials first, 0 without any, then by difficulty and overall."""
+    m = trials(spark, sf_dir).groupBy("task", "difficulty").agg(F.coalesce(R.mean(F.col("score")), F.lit(0.0)).alias("judge"))
+    g = R.by_group(m, "difficulty", "judge")
+    return g.select("grp", F.col("avg_metric").alias("judge"), "tasks")
+
+
+@query(f"""WITH {TRIALS} SELECT task, CAST(sum(score) AS DOUBLE) / count(score) AS avg_score, string_agg(CAST(trial AS VARCHAR), ',' ORDER BY trial) AS trials FROM trl WHERE trial IS NOT NULL GROUP BY task""")
+def q_trialdetail(spark, sf_dir):
+    """A3: the mean with the trials behind it; rounding is left to what shows it."""
+    t = trials(spark, sf_dir).where("trial is not null")
+    detail = F.array_join(F.transform(F.array_sort(F.collect_list("trial")), lambda x: x.cast("string")), ",")
+    return t.groupBy("task").agg(R.mean(F.col("score")).alias("avg_score"), detail.alias("trials"))
