@@ -26,7 +26,7 @@ from tripfold.llm.common import crc_mod, hash_words
 
 MAX_TRAIN = 8_000  # labelled documents the model is fitted on, at most
 MIN_DOCS = 4  # training documents that a word with a weight occurs in, at least
-EPOCHS, BATCH, RATE, SWAP = 25, 256, 0.2, 1.0  # SWAP: weight of the penalty on swapped sentences
+CHOOSE, EPOCHS, BATCH, RATE, SWAP = 16, 32, 256, 0.2, 1.0  # CHOOSE: passes that choose words; SWAP: weight of the penalty on swapped sentences
 EXCESS = 3.0  # documents by which a word must lean to one label before it gets a weight (an L1 penalty)
 CUT = 0.5
 SENTENCE = 60  # words after which a sentence without an end is cut
@@ -106,7 +106,9 @@ def fit(texts: list, labels: np.ndarray, seed: int = 11) -> dict:
     first = np.searchsorted(x.doc, np.arange(len(docs) + 1))
     rows = [x.row[i:j] for i, j in zip(first, first[1:])]
     for epoch in range(EPOCHS):
-        choose = epoch < 2 * EPOCHS // 3  # words are chosen first; then the chosen ones' weights are fitted without the L1 penalty
+        choose = epoch < CHOOSE  # words are chosen first; then the chosen ones' weights are fitted without the L1 penalty
+        if epoch == CHOOSE:
+            gw[:], gb[:] = 1e-8, 1e-8
         order = rng.permutation(len(docs))
         for k in range(0, len(docs), BATCH):
             pick = order[k : k + BATCH]
