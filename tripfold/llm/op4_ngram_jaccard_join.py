@@ -117,7 +117,7 @@ def passes(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def leaders(tokens: DataFrame, percent: int) -> DataFrame:
-    """leader and set_id: the groups in which the sets' partners are."""
+    """leader, set_id and n, the set's size: the groups in which the sets' partners are."""
     given = tokens.where("low is not null").select("set_id", "n_shingles", "n_low", "low")
     # a token of one set has lo = hi; both are combined before the shuffle
     shared = stored(
@@ -140,10 +140,10 @@ def leaders(tokens: DataFrame, percent: int) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100).cast("decimal(3,0)")) + 1
     ranked = stored(
         kept.withColumn("_at", F.row_number().over(mine.orderBy("df", "token"))).withColumn("_shared", F.count("*").over(mine))
-        .where(F.col("_at") <= prefix - (F.col("n_low") - F.col("_shared"))).select("token", "set_id")
+        .where(F.col("_at") <= prefix - (F.col("n_low") - F.col("_shared"))).select("token", "set_id", "n")
     )
     first = ranked.groupBy("token").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("hi")).where("leader <> hi").select("token", "leader")
-    return stored(ranked.join(first, "token").select("leader", "set_id").distinct())
+    return stored(ranked.join(first, "token").select("leader", "set_id", "n").distinct())
 
 
 def sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -219,14 +219,28 @@ def links_within(ids: np.ndarray, sets: list, side: np.ndarray, percent: int) ->
     return found
 
 
-def links(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets; groups: leader, set_id, tokens."""
-    size = groups.groupBy("leader").agg(F.sum(F.length("tokens") / 8).alias("size"))
+SMALL = 1_000_000  # rows of a few numbers that may be broadcast
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if there are few, else joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
+def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets. members: leader, set_id, n; sets: set_id, tokens.
+
+    Groups of more than BLOCK tokens, of which there are few, are cut first, by ids alone; a set's tokens
+    then go to each pair of blocks that it is in.
+    """
+    large = members.groupBy("leader").agg(F.sum("n").alias("_size")).where(F.col("_size") > BLOCK)
+    large = stored(large.withColumn("blocks", F.ceil(F.col("_size") / BLOCK).cast("long")).select("leader", "blocks"))
     cut = (
-        groups.join(size.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")), "leader")
+        members.join(held(large), "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
         .withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("leader", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "set_id", "tokens")
+        .select("leader", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "set_id")
+        .join(sets, "set_id")
     )
 
     def run(batches):
@@ -254,8 +268,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """doc_id, n_shingles and component_id per row: components of the links whose similarity is percent/100 or more."""
     tokens = stored(documents_and_tokens(docs, words, percent))
     members = leaders(tokens, percent)
-    groups = members.join(sets_of(docs, members, words), "set_id")
-    classes = components(stored(links(groups, percent)))
+    classes = components(stored(links(members, sets_of(docs, members, words), percent)))
     ids = tokens.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     classed = ids.join(classes, ids["set_id"] == classes["node"], "left").select("set_id", "first", F.coalesce("component", "set_id").alias("class"))
     least = classed.groupBy("class").agg(F.min("first").alias("least"))
@@ -267,9 +280,6 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     )
 
 
-SMALL = 1_000_000  # ids that may be broadcast (8 bytes each)
-
-
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays,
     one row if that doc_id is repeated. Rows without a doc_id stay."""
@@ -277,9 +287,6 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
 
-    def held(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= SMALL else ids
-
     kept = docs.join(held(stored(drop)), "doc_id", "left_anti").select(docs.columns)
     repeated = stored(repeated)
     if not repeated.isEmpty():
