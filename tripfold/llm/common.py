@@ -33,6 +33,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tripfold-{uuid.uuid4().hex}"
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of at most 1,000 rows and 16 MB: texts are long, and a worker holds a
+    batch as bytes and as Python objects at the same time."""
+    for key, most in (("maxRecordsPerBatch", 1_000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = int(spark.conf.get(key, "0").rstrip("b") or 0)
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """The rows of df, written as a table in the shared folder and read back: lineage ends here, and a
     lost executor costs a re-read instead of the whole job."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.llm.common import crc_mod, hash_words
+from tripfold.llm.common import crc_mod, hash_words, lean
 
 MAX_TRAIN = 8_000  # labelled documents the model is fitted on, at most
 MIN_DOCS = 4  # training documents that a word with a weight occurs in, at least
@@ -181,4 +181,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_toxicity_counterfactual(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

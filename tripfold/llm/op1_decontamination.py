@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.llm.common import hash_words, ngram_hashes
+from tripfold.llm.common import hash_words, lean, ngram_hashes
 
 SEED, STRIDE = 3, 3  # words of a seed; n-grams of which the rarest is a seed
 LEAK = 0.5  # score from which a passage is a leak
@@ -202,4 +202,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tripfold.llm.common import crc_mod, hash_words
+from tripfold.llm.common import crc_mod, hash_words, lean
 
 PASSAGE = 64  # words of a passage
 WORDS, SHAPES, DIM, ATT = 1 << 14, 1 << 10, 16, 12  # rows of the vector tables, encoder and attention width
@@ -220,4 +220,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_quality_mil(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.llm.common import bounds_of, mixed, shuffle_parts
+from tripfold.llm.common import bounds_of, lean, mixed, shuffle_parts
 
 WINDOW, NEAR, VOTES = 32, 32, 8
 SHORT, SMALL = 4 * WINDOW, 8  # bytes of a short text, and of the windows that are its features, all of them
@@ -206,4 +206,5 @@ TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float
 
 
 def op3_improbable_digest(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

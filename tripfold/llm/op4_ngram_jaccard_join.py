@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tripfold.llm.common import mixed, shingle_hashes, stored
+from tripfold.llm.common import lean, mixed, shingle_hashes, stored
 from tripfold.llm.components import components
 
 ORDERS = 2  # further orders, besides the one by rarity
@@ -297,4 +297,5 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tripfold.llm.common import shuffle_parts, stored
+from tripfold.llm.common import lean, shuffle_parts, stored
 
 WEIGHTS = (1, 2, 3)  # of the sources in code-point order, repeating
 REPEATS = 3  # a document is taken so often at most
@@ -130,4 +130,5 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return source_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

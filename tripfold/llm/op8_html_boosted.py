@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripfold.llm.common import lean
+
 MAX_TRAIN = 600  # pages the trees are fitted on, at most
 TREES, DEPTH, BINS, RATE, LEAST = 40, 4, 24, 0.3, 20
 SWITCH = 2.0
@@ -308,4 +310,5 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def op8_html_boosted(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.llm.common import shared_folder, shuffle_parts
+from tripfold.llm.common import lean, shared_folder, shuffle_parts
 
 END = 1  # id after each document
 SEGMENT = 1 << 20  # ids from which a segment ends with its document
@@ -295,5 +295,6 @@ def tokens_at(spark, path: str, places: DataFrame) -> DataFrame:
 
 
 def op9_token_index(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_index(spark, write_index(docs, shared_folder(spark)))
