@@ -35,7 +35,7 @@ from tripfold.llm.common import lean, shared_folder, shuffle_parts
 END = 1  # id after each document
 SEGMENT = 1 << 20  # ids from which a segment ends with its document
 RANK = 512  # bits between two entries of a rank directory
-WORDS = 800_000  # words whose ids a worker remembers, at most
+WORDS = 200_000  # words whose ids a worker remembers, at most
 TEXTS = 2_048  # texts that are encoded together
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MAGIC = b"DACS"
