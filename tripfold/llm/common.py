@@ -38,8 +38,8 @@ def lean(spark: SparkSession) -> SparkSession:
     batch as bytes and as Python objects at the same time."""
     for key, most in (("maxRecordsPerBatch", 1_000), ("maxBytesPerBatch", 16 << 20)):
         key = f"spark.sql.execution.arrow.{key}"
-        held = int(spark.conf.get(key, "0").rstrip("b") or 0)
-        if not 0 < held <= most:
+        held = spark.conf.get(key).rstrip("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
             spark.conf.set(key, str(most))
     return spark
 
