@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripfold.functions import fixed, jsonx, text
+from tripfold.functions import fixed, text
 from tripfold.operators import conversation as C
 from tripfold.operators import scoring as S
 from tripfold.plans.adapters import HISTORY, history

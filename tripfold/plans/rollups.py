@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripfold.operators import rollup as R
-from tripfold.plans.adapters import ACTIVITIES, CALLS, HISTORY, TRIALS, activities, calls, history, table, trials
+from tripfold.plans.adapters import CALLS, HISTORY, TRIALS, calls, history, table, trials
 
 QUERIES, SQL = {}, {}
 
