@@ -31,7 +31,7 @@ ACTIVITIES = """
 evt AS (SELECT user_id AS usr, CAST(ts AS DATE) AS d, event_id AS ix, hour(ts) AS hr,
   CASE event_type WHEN 'view' THEN 'attraction' WHEN 'click' THEN 'food' WHEN 'purchase' THEN 'hotel'
     WHEN 'signup' THEN 'intracity_transport' ELSE 'rest' END AS typ,
-  hour(ts) * 60 + minute(ts) AS st, (hour(ts) * 60 + minute(ts) + CAST(floor(value) AS INT)) % 1440 AS en,
+  CAST(hour(ts) * 60 + minute(ts) AS INT) AS st, CAST((hour(ts) * 60 + minute(ts) + CAST(floor(value) AS INT)) % 1440 AS INT) AS en,
   concat('L', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 20 AS VARCHAR)) AS loc, value AS cost
   FROM events)"""
 
