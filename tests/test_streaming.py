@@ -24,7 +24,8 @@ def test_windows(spark, tmp_path):
     more()
     _run(jobs.missed_per_window(stream, "ts", "event_type", "1 hour", "60 days"), tmp_path, "missed", "complete")
     batch = jobs.missed_per_window(events, "ts", "event_type", "1 hour")
-    assert sorted(map(tuple, spark.table("missed").collect())) == sorted(map(tuple, batch.collect()))
+    shown = lambda df: sorted(map(tuple, df.withColumn("start", F.col("start").cast("string")).collect()))
+    assert shown(spark.table("missed")) == shown(batch)
 
 
 def test_third_calls(spark, tmp_path):

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """df, whose rows may be late by delay. Event time is a TIMESTAMP, whatever the column was."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def missed_per_window(df: DataFrame, ts: str, tool: str, length: str, delay: str | None = None) -> DataFrame:
     """Rows per tool and window of time. delay: how late rows may be (streams)."""
-    rows = df.withWatermark(ts, delay) if delay else df
+    rows = watermarked(df, ts, delay) if delay else df
     return rows.groupBy(F.window(ts, length).alias("_w"), tool).agg(F.count("*").alias("missed")).select(F.col("_w.start").alias("start"), tool, "missed")
 
 
@@ -27,6 +32,6 @@ def score_arriving(results: DataFrame, score, path: str, checkpoint: str):
 def third_calls(calls: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
     """The keys (trial, tool, arguments) called a third time, once their window has closed to late rows."""
     return (
-        calls.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("_w"), *keys).agg(F.count("*").alias("n"))
+        watermarked(calls, ts, delay).groupBy(F.window(ts, "1 day").alias("_w"), *keys).agg(F.count("*").alias("n"))
         .where("n >= 3").select(F.col("_w.start").alias("day"), *keys, "n")
     )
