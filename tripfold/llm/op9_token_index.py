@@ -35,8 +35,8 @@ from tripfold.llm.common import lean, shared_folder, shuffle_parts
 END = 1  # id after each document
 SEGMENT = 1 << 20  # ids from which a segment ends with its document
 RANK = 512  # bits between two entries of a rank directory
-WORDS = 200_000  # words whose ids a worker remembers, at most
-TEXTS = 2_048  # texts that are encoded together
+WORDS = 400_000  # words whose ids a worker remembers, at most
+TEXTS, BYTES = 4_096, 16 << 20  # texts that are encoded together, and their bytes, at most (one text may have more)
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MAGIC = b"DACS"
 MARK = "<|startoftext|>"  # fixed value: a special token of the tokenizer
@@ -200,6 +200,19 @@ def _encoder(source: str) -> _Encoder:
     return _LOADED[source]
 
 
+def together(batches):
+    """The rows of the batches, dealt anew into batches of up to TEXTS texts and BYTES bytes."""
+    held, rows, size = [], 0, 0
+    for b in batches:
+        if held and (rows + b.num_rows > TEXTS or size + b.nbytes > BYTES):
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 SEGMENTS = "part long, first long, n long, doc_ids binary, ends binary, codes binary"
 
 
@@ -219,22 +232,20 @@ def write_index(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> str:
             values = [part, first, len(flat), np.concatenate(docs).tobytes(), np.concatenate(ends).astype(np.int64).tobytes(), encoded(flat)]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["part", "first", "n", "doc_ids", "ends", "codes"])
 
-        for b in batches:
-            for k in range(0, b.num_rows, TEXTS):
-                rows = b.slice(k, TEXTS)
-                flat, ends = encode(rows.column(1))
-                who = rows.column(0).to_numpy().astype(np.int64)
-                at = 0
-                while at < len(ends):
-                    # whole documents until the segment has SEGMENT ids
-                    begin = int(ends[at - 1]) if at else 0
-                    to = min(len(ends), at + int(np.searchsorted(ends[at:], begin + SEGMENT - n)) + 1)
-                    ids.append((flat[begin : int(ends[to - 1])], ends[at:to] - begin)), docs.append(who[at:to])
-                    n += int(ends[to - 1]) - begin
-                    at = to
-                    if n >= SEGMENT:
-                        yield done()
-                        first, ids, docs, n = first + n, [], [], 0
+        for rows in together(batches):
+            flat, ends = encode(rows.column(1))
+            who = rows.column(0).to_numpy().astype(np.int64)
+            at = 0
+            while at < len(ends):
+                # whole documents until the segment has SEGMENT ids
+                begin = int(ends[at - 1]) if at else 0
+                to = min(len(ends), at + int(np.searchsorted(ends[at:], begin + SEGMENT - n)) + 1)
+                ids.append((flat[begin : int(ends[to - 1])], ends[at:to] - begin)), docs.append(who[at:to])
+                n += int(ends[to - 1]) - begin
+                at = to
+                if n >= SEGMENT:
+                    yield done()
+                    first, ids, docs, n = first + n, [], [], 0
         if ids:
             yield done()
 
