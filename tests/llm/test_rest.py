@@ -111,6 +111,16 @@ def test_states_do_not_depend_on_lanes_or_windows():
         assert np.allclose(h[begin[s : s + len(d)] + lane], want, atol=1e-5)
 
 
+def test_every_training_document_reaches_the_network(spark, frame, monkeypatch):
+    monkeypatch.setattr(L, "FIRST", 1)
+    texts = [f"own{i} {prose(i, 12)}" for i in range(200)]
+    docs = frame(texts).repartition(3)
+    lex = L.lexicon(L.counted(docs))
+    new, got = L.new_model(lex), L.fitted(docs, spark.sparkContext.broadcast(lex), lex)
+    own = [lex.slot[lex.words.index(b"own%d" % i)] for i in range(200)]
+    assert (got["E"][own] != new["E"][own]).any(1).all()
+
+
 def test_language_model_of_nothing(frame):
     assert L.language_model(frame(["x"]).limit(0)).count() == 0
 
