@@ -38,6 +38,16 @@ def test_copies_and_edits_are_found_and_clean_texts_are_not(spark, frame, benchm
     assert sorted(r["doc_id"] for r in D.without_leaks(frame(texts), benchmark).collect()) == [i for i in range(45) if i not in leaks and i not in (43, 44)]
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_edited_copies_alone_are_found(frame, benchmark, every):
+    """No verbatim copy, and no SEED + 2 words in a row that are as they were; then one item verbatim too."""
+    copies = [" ".join("changed" if k % every == every - 1 else w for k, w in enumerate(t.split())) for t in ITEMS]
+    texts = [f"{prose(200 + i, 80)} {c} {prose(300 + i, 80)}" for i, c in enumerate(copies)] + [prose(400 + i, 200) for i in range(10)] + [ITEMS[2]]
+    want = {(i, i) for i in range(len(ITEMS))} | {(16, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in D.leaks(frame(texts), benchmark).collect()} == want
+    assert sorted(r["doc_id"] for r in D.without_leaks(frame(texts), benchmark).collect()) == list(range(6, 16))
+
+
 def test_blocks_of_items_give_the_same(spark, frame, benchmark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK", 150)
     got = D.leaks(frame([ITEMS[3], prose(5, 80), ITEMS[5]]), benchmark)

@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are word n-grams of the test items. How often each occurs in the whole corpus is counted first;
-of every STRIDE n-grams in a row, an item keeps the rarest, so any SEED + STRIDE - 1 unchanged words in
-a row hold a seed, while n-grams that occur everywhere seldom start an alignment. A document that holds
-a seed is aligned to the item around it, word by word (match 1, mismatch and gap -0.5). The best local
-score divided by the item's words, 1 for a verbatim copy, tells copies with edits, insertions and
-changed words from chance. Words are compared in lower case without ASCII punctuation.
+Seeds are all word n-grams of the test items, so any SEED unchanged words in a row of a copy hold one. A
+document that holds a seed is aligned to the item around it, word by word (match 1, mismatch and gap
+-0.5), unless it has too few of the item's words for a leak whatever their order. The best local score
+divided by the item's words, 1 for a verbatim copy, tells copies with edits, insertions and changed words
+from chance. Words are compared in lower case without ASCII punctuation. How often a seed occurs in the
+corpus doesn't matter: one that occurs nowhere can't hit, and where the whole benchmark occurs as edited
+copies, the rarest n-grams are those that the edits broke.
 
 Items are taken in blocks of at most about BLOCK bytes (by hash of item_id, as many blocks as the
 benchmark needs); each block is broadcast and meets all documents in one scan. Documents aren't
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 
 from tripfold.llm.common import hash_words, lean, ngram_hashes
 
-SEED, STRIDE = 3, 3  # words of a seed; n-grams of which the rarest is a seed
+SEED = 3  # words of a seed
 LEAK = 0.5  # score from which a passage is a leak
 OFF = 0.5  # cost of a mismatch or gap
 BLOCK = 4_000_000  # bytes of the items that are broadcast together
 SIEVE = 1 << 20
-ALIGN = 512  # windows that are aligned together
+ALIGN, CELLS = 512, 1 << 20  # windows that are aligned together, and their words, at most
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -48,21 +49,7 @@ class Items:
         self.grams = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         self.at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-        self.distinct = np.unique(self.grams)
-
-    def keep_rarest(self, counts: np.ndarray) -> None:
-        """Leaves as seeds, of each STRIDE n-grams in a row, the one with the smallest count."""
-        count = counts[np.searchsorted(self.distinct, self.grams)]
-        keep = np.zeros(len(self.grams), bool)
-        ends = np.r_[np.flatnonzero(np.diff(self.item)) + 1, len(self.item)] if len(self.item) else []
-        begin = 0
-        for end in ends:
-            for k in range(begin, max(begin + 1, end - STRIDE + 1)):
-                part = count[k : min(k + STRIDE, end)]
-                keep[k + int(part.argmin())] = True
-            begin = end
-        order = np.flatnonzero(keep)
-        order = order[np.argsort(self.grams[order], kind="stable")]
+        order = np.argsort(self.grams, kind="stable")
         self.grams, self.item, self.at = self.grams[order], self.item[order], self.at[order]
         self.distinct = np.unique(self.grams)
 
@@ -103,6 +90,11 @@ def align(windows: list, items: list) -> tuple[np.ndarray, np.ndarray]:
     return best, end
 
 
+def held_words(item: np.ndarray, have: np.ndarray) -> int:
+    """How many of the item's words are among the sorted words have: no alignment scores more."""
+    return int((have[np.minimum(np.searchsorted(have, item), len(have) - 1)] == item).sum())
+
+
 def leaks_in(texts: list, items: Items, sieve: np.ndarray) -> list:
     """For each text the list of (item_id, score, first word, word after the last)."""
     out, jobs = [[] for _ in texts], []
@@ -115,6 +107,12 @@ def leaks_in(texts: list, items: Items, sieve: np.ndarray) -> list:
         n = np.searchsorted(items.grams, items.distinct[which], "right") - lo
         entry = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         item, diagonal = items.item[entry], np.repeat(pos, n) - items.at[entry]
+        have = np.unique(words)
+        ids, of = np.unique(item, return_inverse=True)
+        enough = np.array([held_words(items.words[i], have) >= LEAK * len(items.words[i]) for i in ids])[of]
+        if not enough.any():
+            continue
+        item, diagonal = item[enough], diagonal[enough]
         order = np.lexsort((diagonal, item))
         item, diagonal = item[order], diagonal[order]
         slack = np.array([len(items.words[i]) // 2 for i in item])
@@ -126,8 +124,12 @@ def leaks_in(texts: list, items: Items, sieve: np.ndarray) -> list:
             jobs.append((d, int(item[a]), begin, words[begin : int(diagonal[b - 1]) + long + long // 2]))
     jobs.sort(key=lambda j: len(j[3]))
     best: dict = {}
-    for k in range(0, len(jobs), ALIGN):
-        part = jobs[k : k + ALIGN]
+    k = 0
+    while k < len(jobs):
+        end = k + 1
+        while end < min(len(jobs), k + ALIGN) and (end + 1 - k) * len(jobs[end][3]) <= CELLS:
+            end += 1
+        part, k = jobs[k:end], end
         scores, ends = align([j[3] for j in part], [items.words[j[1]] for j in part])
         good = [(j, s, e) for j, s, e in zip(part, scores, ends) if s >= LEAK * len(items.words[j[1]])]
         if good:
@@ -142,7 +144,7 @@ def leaks_in(texts: list, items: Items, sieve: np.ndarray) -> list:
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame):
-    """Blocks of items with their seeds chosen, broadcast one after another."""
+    """Blocks of items with their seeds, broadcast one after another."""
     spark = docs.sparkSession
     given = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     size = given.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -150,22 +152,6 @@ def blocks(docs: DataFrame, benchmark: DataFrame):
     for k in range(n):
         rows = given.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # about BLOCK bytes
         items = Items(sorted((r["item_id"], r["text"]) for r in rows))
-        held = spark.sparkContext.broadcast((items.distinct, items.sieve()))
-
-        def count(batches, held=held):
-            distinct, sieve = held.value
-            total = np.zeros(len(distinct), np.int64)
-            for b in batches:
-                for text in b.column(0).to_pylist():
-                    total += np.bincount(hits(ngram_hashes(words_of(text), SEED), distinct, sieve)[1], minlength=len(distinct))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
-
-        counts = np.zeros(len(items.distinct), np.int64)
-        # a row for each of the block's n-grams, at most
-        for r in docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-            counts[r["at"]] = r["n"]
-        items.keep_rarest(counts)
         yield spark.sparkContext.broadcast((items, items.sieve()))
 
 
