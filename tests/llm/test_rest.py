@@ -162,6 +162,19 @@ def test_main_text(spark):
     assert H.main_text(df).count() == len(rows) and H.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<svg/>", "<svg class='i' />", "<button>hid", "<select><option>hid<option>hid", "<noscript>hid", "<template>hid", "<svg><path d='x'/>", "<button>hid<button>hid</button>",
+        "<svg><g><svg><path/></svg>hid</g></svg>", "<template><div>hid</p></div><template>hid</template>hid</div></template>", "<button><div>hid</div>hid</button>",
+        "<p><button><div>hid</div>hid</button></p>", "<svg><title/><style/></svg>", "<select><option>hid</select>", "<li><button>hid<li>", "<button/>", "<template/>",
+    ],
+)
+@pytest.mark.parametrize("after", ["", "<button>hid</button>", "<svg><text>hid</text></svg>"])
+def test_hidden_elements_before_an_article(before, after):
+    assert H.texts_of([f"<body><div>{before}<article><p>the text</p></article>{after}</div><p>and <i>more</i></p></body>"], None) == ["the text and more"]
+
+
 def test_decoding_never_goes_back_inside():
     p = H.Page("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
     rng = np.random.default_rng(2)

@@ -1,7 +1,7 @@
 """HTML extraction: gradient-boosted trees over DOM nodes, decoded along the tree.
 
 A page is parsed to its element tree (void and self-closing elements, optional end tags, unclosed and stray
-tags, raw text elements, comments). Every element has features: what kind its tag is, words of class, id
+tags, raw text elements, comments; a hidden box such as a button or svg without an end tag ends at the next block). Every element has features: what kind its tag is, words of class, id
 and role, depth, place and number among its siblings, text and link density of its subtree, how much
 text and punctuation it has itself, and whether it stands below a content or boilerplate element.
 Boosted trees (logistic loss, histogram splits) say how likely an element's own text is main text. They
@@ -37,14 +37,15 @@ PAGES = 64  # pages that are scored together
 
 #: Element and attribute names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "select", "button")
-HIDDEN_TAGS = frozenset((*RAW, "head", "input", "option", "object", "canvas"))
+RAW = ("script", "style", "textarea", "title", "iframe")
+BOXES = frozenset("svg select button template noscript".split())  # hidden with all that is in them
+HIDDEN_TAGS = frozenset((*RAW, *BOXES, "head", "input", "option", "object", "canvas"))
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "button": ("button",), "select": ("select",)}
+SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "button": ("template",), "select": ("template",)}
 MAIN = frozenset(("article", "main"))
 BOILER = frozenset(("nav", "header", "footer", "aside", "form", "dialog", "menu", *HIDDEN_TAGS))
 GOOD = frozenset("article articlebody body content entry main post story text".split())
@@ -65,9 +66,22 @@ FEATURES = 24
 
 
 class Page:
-    """The element tree, parents first, as parallel lists; parts: (element, text) in page order."""
+    """The element tree, parents first, as parallel lists; parts: (element, text) in page order.
+
+    A box that has no end tag of its own ends where a block begins (it may hold one if it has): as these are
+    known at the page's end only, a page with such boxes is parsed again.
+    """
 
     def __init__(self, source: str):
+        self.loose: frozenset = frozenset()  # elements that are boxes without an end tag
+        self._parse(source)
+        loose = frozenset(self.boxes - self.ended)
+        if loose:
+            self.loose = loose
+            self._parse(source)
+
+    def _parse(self, source: str) -> None:
+        self.boxes, self.ended = set(), set()
         self.tag, self.parent, self.depth, self.words = [""], [-1], [0], [()]
         self.parts: list = []
         at, i, size = [0], 0, len(source)
@@ -84,13 +98,16 @@ class Page:
                     continue
                 self._imply(at, name)
                 k = self._add(at[-1], name, m[3])
-                if name in RAW:
+                single = m[3].rstrip().endswith("/")
+                if name in RAW and not (single and any(self.tag[j] == "svg" for j in at)):
                     end = _END[name].search(source, i)
                     i = end.end() if end else size
                 elif name in VOID:
                     self.parts.append((at[-1], " "))
-                elif not m[3].rstrip().endswith("/"):
+                elif not single:
                     at.append(k)
+                    if name in BOXES:
+                        self.boxes.add(k)
                 if name not in INLINE:
                     self.parts.append((at[-1], " "))
 
@@ -103,21 +120,33 @@ class Page:
     def _end(self, at: list, name: str) -> None:
         for k in range(len(at) - 1, 0, -1):
             if self.tag[at[k]] == name:
+                self.ended.add(at[k])
                 self.parts.append((at[k], " " if name not in INLINE else ""))
                 del at[k:]
                 return
             if self.tag[at[k]] in CLOSES_P and name in INLINE:
                 return  # a stray end tag of an inline element doesn't close blocks
+            if self.tag[at[k]] == "template" and at[k] not in self.loose:
+                return  # nor does an end tag in a template close what is around it
 
     def _imply(self, at: list, name: str) -> None:
         """Ends what the start of this element ends."""
+        if self.loose and (name in CLOSES_P or name in SCOPES and name not in ("option", "button", "select")):
+            first = 0
+            for k in range(len(at) - 1, 0, -1):
+                if at[k] in self.loose:
+                    first = k
+                elif self.tag[at[k]] in BOXES:
+                    break
+            if first:
+                del at[first:]
         if name in CLOSES_P:
             for k in range(len(at) - 1, 0, -1):
                 tag = self.tag[at[k]]
                 if tag == "p":
                     del at[k:]
                     break
-                if tag in CLOSES_P or tag in ("td", "th", "li", "body"):
+                if tag in CLOSES_P or tag in BOXES or tag in ("td", "th", "li", "body"):
                     break
         if name in SIBLINGS:
             for k in range(len(at) - 1, 0, -1):
@@ -125,7 +154,7 @@ class Page:
                 if tag in SIBLINGS[name]:
                     del at[k:]
                     break
-                if tag in SCOPES[name]:
+                if tag in SCOPES[name] or tag in BOXES and name not in ("option", "button", "select"):
                     break
 
 
@@ -134,23 +163,26 @@ def measured(page: Page) -> tuple[np.ndarray, np.ndarray]:
     n = len(page.tag)
     parent = np.array(page.parent)
     own, marks, link = np.zeros(n), np.zeros(n), np.zeros(n)
-    linked = np.zeros(n, bool)
+    linked, boxed = np.zeros(n, bool), np.zeros(n, bool)  # boxed: in a box, so neither text nor an element of the page's
     main, boiler, hidden, good, bad = (np.zeros(n, bool) for _ in range(5))
     for k in range(1, n):
         p, tag, words = page.parent[k], page.tag[k], page.words[k]
         g, b = not GOOD.isdisjoint(words), not BAD.isdisjoint(words)
         good[k], bad[k] = g, b
         linked[k] = linked[p] or tag == "a"
+        boxed[k] = boxed[p] or page.tag[p] in BOXES
         hidden[k] = hidden[p] or tag in HIDDEN_TAGS
         main[k] = main[p] or tag in MAIN or (g and not b)
         boiler[k] = boiler[p] or tag in BOILER or (b and not g)
     for k, text in page.parts:
+        if boxed[k] or page.tag[k] in BOXES:
+            continue
         size = len(text) - text.count(" ")
         own[k] += size
         marks[k] += text.count(".") + text.count(",")
         if linked[k]:
             link[k] += size
-    below, links, tags, paragraphs = own.copy(), link.copy(), np.ones(n), np.array([t == "p" for t in page.tag], float)
+    below, links, tags, paragraphs = own.copy(), link.copy(), 1.0 - boxed, np.array([t == "p" for t in page.tag]) * (1.0 - boxed)
     for k in range(n - 1, 0, -1):
         p = page.parent[k]
         below[p] += below[k]
@@ -167,7 +199,7 @@ def measured(page: Page) -> tuple[np.ndarray, np.ndarray]:
     x = np.stack([
         main, boiler, good, bad, np.isin(tag, list(MAIN)), np.isin(tag, list(BOILER)), np.isin(tag, ["p", "blockquote", "pre"]),
         np.isin(tag, ["h1", "h2", "h3", "h4", "h5", "h6"]), np.isin(tag, ["li", "ul", "ol", "td", "tr", "table"]), np.isin(tag, list(INLINE)), linked,
-        np.log1p(own), np.log1p(below), links / np.maximum(below, 1), np.log1p(below / tags), np.log1p(marks), np.log1p(paragraphs), page.depth,
+        np.log1p(own), np.log1p(below), links / np.maximum(below, 1), np.log1p(below / np.maximum(tags, 1)), np.log1p(marks), np.log1p(paragraphs), page.depth,
         siblings[up], place / np.maximum(siblings[up], 1), np.log1p(below[up]), below / max(below[0], 1), links[up] / np.maximum(below[up], 1), np.log1p(tags),
     ], 1).astype(np.float32)
     x[hidden] = 0
