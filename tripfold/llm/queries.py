@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from tripfold.llm.op1_decontamination import op1_decontamination
 from tripfold.llm.op10_toxicity_counterfactual import op10_toxicity_counterfactual
+from tripfold.llm.op11_spelling_variants import op11_spelling_variants
+from tripfold.llm.op12_reply_trees import op12_reply_trees
+from tripfold.llm.op13_cholesky_whitening import op13_cholesky_whitening
 from tripfold.llm.op2_quality_mil import op2_quality_mil
 from tripfold.llm.op3_improbable_digest import op3_improbable_digest
 from tripfold.llm.op4_ngram_jaccard_join import op4_ngram_jaccard_join
@@ -25,5 +28,8 @@ QUERIES = {
     "op8_html_boosted": op8_html_boosted,
     "op9_token_index": op9_token_index,
     "op10_toxicity_counterfactual": op10_toxicity_counterfactual,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_reply_trees": op12_reply_trees,
+    "op13_cholesky_whitening": op13_cholesky_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op7_site_lines": SITE_LINES}
