@@ -41,11 +41,17 @@ def brute(texts):
 
 
 def spelt(seed: int, n: int) -> list:
-    """Texts over a small alphabet, so that near words are many."""
+    """Texts over a small alphabet, so that near words are many; a third of the words are an edit away from more frequent ones."""
     rng = np.random.default_rng(seed)
-    words = ["".join(rng.choice(list("abÉéz÷"), rng.integers(5, 9))) for _ in range(n)]
-    weight = 1 / np.arange(1, n + 1) ** 1.2
-    return [" ".join(w.upper() if rng.random() < 0.1 else w for w in rng.choice(words, 300, p=weight / weight.sum())) for _ in range(40)]
+    words = []
+    for k in range(n):
+        w = list(rng.choice(list("abÉéz÷"), rng.integers(6, 9)) if k % 3 == 0 else words[-1])
+        if k % 3:
+            w[int(rng.integers(len(w)))] = rng.choice(["", "b", "É", "zz"])
+        words += ["".join(w)]
+    each = [w for k, w in enumerate(words) for _ in range((200, 30, 6)[k % 3])]
+    each = [w.upper() if rng.random() < 0.1 else w for w in rng.permutation(each)]
+    return [" ".join(each[k::40]) for k in range(40)]
 
 
 ODD = [None, "", " ", "12 %% ×", "short", "a" * 40_000, ("a" * 39_999 + " ") * 3, ("a" * 39_999 + "\n") * 6, ("a" * 40_000 + "-") * 6, "ÀÀÀÀÀÀ " * 6, "ÀÀÀÀÀÿ." * 7, "ſ日本語テキスト " * 9]
