@@ -43,6 +43,31 @@ def test_no_labels_and_no_documents(corpus, f):
     assert f(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("f", [Q.quality, T.toxicity])
+def test_repeated_ids_are_learned_from_once(spark, corpus, f):
+    docs, labels = corpus
+    more = docs.unionByName(docs.where("doc_id < 9").withColumn("text", Q.F.lit("~ later in order")))
+    a, b = (f(d, labels).where("doc_id >= 9").orderBy("doc_id").toPandas().score for d in (docs, more))
+    assert np.array_equal(a, b)
+
+
+def test_swaps_against_listing():
+    texts = ["We saw the women. The men, the black cat! And", "", "old people? young people", "none here. none there"]
+    docs = [T.sentences(t) for t in texts]
+    vocab = np.unique(np.concatenate([x for d in docs for x in d]))
+    s = T.Swaps(docs, vocab)
+    assert s.blank.tolist() == [1, 1, 0, 2] and np.diff(s.first).tolist() == [3, 0, 2, 0]
+    h = lambda w: int(T.hash_words([w.encode()])[0])
+    rng, seen = np.random.default_rng(1), set()
+    for _ in range(200):
+        old, new = s.drawn(np.array([0, 2]), rng)
+        assert len(old) == 6
+        assert (old != new).any() and all(a != b for a, b in zip(old, new) if a >= 0)
+        seen |= set(vocab[new[new >= 0]].tolist())
+    assert seen == {h(w) for w in ("women", "men", "black", "old", "young")}
+    assert all(T._GROUP[int(T.TERMS[a])] == T._GROUP[int(T.TERMS[b])] for a in range(len(T.TERMS)) for b in T._BY_KIND[T._KIND_FIRST[T._KIND[a]] :][: T._KIND_SIZE[T._KIND[a]]])
+
+
 def test_attention_gradients_against_differences():
     rng = np.random.default_rng(0)
     m = {k: v.astype(np.float64) for k, v in Q.new_model(rng).items()}

@@ -48,6 +48,29 @@ def test_edited_copies_alone_are_found(frame, benchmark, every):
     assert sorted(r["doc_id"] for r in D.without_leaks(frame(texts), benchmark).collect()) == list(range(6, 16))
 
 
+def test_frequent_seeds_go_where_rarer_ones_are_near(spark, frame, monkeypatch):
+    monkeypatch.setattr(D, "FEW", 5)
+    common = "one of the"
+    items = [f"{prose(900, 8)} {common} {prose(901, 8)}", f"{common} {common} {common} {common}"]
+    texts = [f"{common} {prose(i, 60)} {common}" for i in range(60)] + [items[0], prose(1, 30) + " " + items[1]]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(frame(texts), benchmark).collect()}
+    assert got == {(60, 0), (61, 1)}
+    block = D.Items(list(enumerate(items)))
+    gram = D.ngram_hashes(D.words_of(common), D.SEED)[0]
+    counts = D.document_counts(frame(texts), block)
+    assert counts[np.searchsorted(block.distinct, gram)] == 62
+    block.choose(counts, 5)
+    assert set(block.item[block.grams == gram].tolist()) == set() and set(block.item.tolist()) == {0, 1}
+
+
+def test_counts_of_documents_against_counting(frame):
+    texts = [prose(i % 7, 40) for i in range(30)] + [ITEMS[0], ITEMS[0] + " " + ITEMS[0], None]
+    items = D.Items(list(enumerate(ITEMS)))
+    have = [set(D.ngram_hashes(D.words_of(t), D.SEED).tolist()) for t in texts]
+    assert D.document_counts(frame(texts).repartition(3), items).tolist() == [sum(g in h for h in have) for g in items.distinct.tolist()]
+
+
 def test_blocks_of_items_give_the_same(spark, frame, benchmark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK", 150)
     got = D.leaks(frame([ITEMS[3], prose(5, 80), ITEMS[5]]), benchmark)

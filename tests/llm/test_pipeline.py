@@ -26,8 +26,23 @@ def test_near_duplicates_leave_one_each(spark):
 
 
 def test_odd_rows(spark, frame, tmp_path):
-    texts = [None, "", " ", prose(1, 80), prose(1, 80), junk(2, 90), prose(3, 6000)]
-    docs = frame(texts).select(*corpus_pipeline.COLUMNS)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-    assert docs.count() >= 1
+    """Null and repeated ids, null texts and sources: what each stage keeps and drops, row by row."""
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").orderBy("item_id").first()["text"]
+    rows = [(i % 5 if i % 3 else None, prose(i, 80 + i), "en", ["a", None][i % 2], 9) for i in range(40)]
+    odd = [(7, None, None, None, None), (7, "", "en", "a", 0), (None, " ", "en", "a", 1), (8, prose(3, 6000), "en", "a", 9), (None, leak, "en", "a", 9), (3, leak + " x", "en", "b", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows + odd + [rows[0], rows[1]], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality classifier"](spark, docs, SF)
+    assert good.columns == docs.columns and good.exceptAll(docs).isEmpty()
+    once = sorted(map(tuple, stages["n-gram Jaccard join"](spark, docs, SF).collect()), key=str)
+    left = rows + odd[:4] + [odd[5]]  # the benchmark passage with an id goes before the one without
+    assert once == sorted(left, key=str)
+    clean = sorted(map(tuple, stages["benchmark decontamination"](spark, spark.createDataFrame(left, schema), SF).collect()), key=str)
+    assert clean == sorted(rows + odd[:4], key=str)
+    mixed = stages["mixing sources to target weights"](spark, spark.createDataFrame(clean, schema), SF).collect()
+    assert {tuple(r) for r in mixed} <= set(clean) and sum(r["doc_id"] is None for r in mixed) > 5
+    ids = stages["token-ID output"](spark, spark.createDataFrame(clean, schema), SF)
+    assert ids.count() == len(clean)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

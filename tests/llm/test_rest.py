@@ -52,6 +52,40 @@ def test_mix(frame, sources):
     assert M.mixed_rows(docs).count() == int((got.taken[got["size"] > 0] / got["size"][got["size"] > 0]).sum())
 
 
+@pytest.mark.parametrize("sources", [["a", "b", "c", None], ["big"] * 9 + ["b", "c"]])
+def test_mix_against_a_replayed_queue(frame, sources):
+    docs = frame([prose(i, 1 + i * 7 % 60) for i in range(150)] + [None, ""], sources)
+    hashes = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", f"shiftrightunsigned(xxhash64(doc_id, {M.SEED}), 1) as h").collect()}
+    rows = M.source_mix(docs).collect()
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    copies, total = [], sum(r["size"] for r in rows)
+    for s in set(source.values()):
+        at = 0
+        for r in sorted((r for r in rows if source[r["doc_id"]] == s), key=lambda r: (hashes[r["doc_id"]], r["doc_id"])):
+            at += r["size"]
+            if r["size"]:
+                copies += [((k * r["source_size"] + at) / r["target"], hashes[r["doc_id"]], r["doc_id"], k, r["size"]) for k in range(M.REPEATS)]
+    taken, left = Counter(), total
+    for *_, i, _, n in sorted(copies):
+        if n > left:
+            break
+        taken[i] += n
+        left -= n
+    assert {r["doc_id"]: r["taken"] for r in rows if r["taken"]} == dict(taken)
+
+
+def test_mixed_rows_with_null_and_repeated_ids(spark):
+    rows = [(i % 7 if i % 3 else None, prose(i, 20 + i % 5), "en", ["a", "b", None][i % 3], 5) for i in range(90)] + [(1, prose(500, 20), "en", "a", 5)] * 4 + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(map(tuple, M.mixed_rows(docs).collect()))
+    times = Counter()
+    for r in M.queue(M.with_marks(docs), M.MARKS).where("_n > 0").collect():
+        times[r["_mark_a"]] += r["_n"]
+    marks = {r["_mark_a"]: tuple(r[:5]) for r in M.with_marks(docs).collect()}
+    assert got == Counter({marks[m]: n for m, n in times.items()}) and any(r[0] is None for r in got) and sum(got.values()) > 80
+    assert all(n <= M.REPEATS * rows.count(r) for r, n in got.items())
+
+
 def test_mix_of_nothing(frame):
     assert M.source_mix(frame(["x"]).limit(0)).count() == 0
     assert [r["taken"] for r in M.source_mix(frame([None, ""])).collect()] == [0, 0]
@@ -121,6 +155,12 @@ def test_every_training_document_reaches_the_network(spark, frame, monkeypatch):
     assert (got["E"][own] != new["E"][own]).any(1).all()
 
 
+def test_language_model_with_null_and_repeated_ids(spark):
+    rows = [(None if i % 4 == 0 else i % 5, prose(i, 30)) for i in range(60)]
+    got = L.language_model(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and all(math.isfinite(r["score"]) for r in got)
+
+
 def test_language_model_of_nothing(frame):
     assert L.language_model(frame(["x"]).limit(0)).count() == 0
 
@@ -143,6 +183,17 @@ def test_site_lines(spark, frame):
     assert N.site_lines(frame(["x"]).limit(0), "doc_id", "text", "source").count() == 0
 
 
+def test_site_pages_go_by_host(spark, monkeypatch):
+    rows = [(i, ["http://A.example/x", "https://a.example:80/y?z", "http://b.example/", None, "no url"][i % 5], f"own {i}\n" + ("menu of a" if i % 5 < 2 else f"line {i}")) for i in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in N.site_pages(df, "page_id", "url", "html").collect()}
+    assert got == {i: f"own {i}" + ("" if i % 5 < 2 else f"\nline {i}") for i in range(50)}
+    monkeypatch.setattr(N, "LISTED", 0)
+    assert {r["page_id"]: r["text"] for r in N.site_pages(df, "page_id", "url", "html").collect()} == got
+    given = spark.read.parquet(f"{SF}/pages.parquet")
+    assert N.site_pages(given, "page_id", "url", "html").count() == given.count()
+
+
 # --- 8: HTML
 def page(i: int, body: str) -> str:
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{body}<footer>&copy; {i} foot</footer></body></html>"
@@ -175,6 +226,29 @@ def test_hidden_elements_before_an_article(before, after):
     assert H.texts_of([f"<body><div>{before}<article><p>the text</p></article>{after}</div><p>and <i>more</i></p></body>"], None) == ["the text and more"]
 
 
+def test_trees_matter_where_no_tag_or_attribute_tells(spark):
+    """Pages without attributes and with plain elements only: the trees find the main text by shape."""
+    import re
+
+    given = [r["html"] or "" for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    trees = H.fitted(spark.read.parquet(f"{SF}/pages.parquet"))
+    bare = [re.sub(r"(?i)<(/?)(?:nav|header|footer|aside|article|main|form|section)\b", r"<\1div", re.sub(r"""(?i)\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", h)) for h in given]
+    want = H.texts_of(given, trees)
+    words = lambda texts: [Counter(t.split()) for t in texts]
+
+    def wrong(texts):  # words too many or too few
+        return sum(((a - b) + (b - a)).total() for a, b in zip(words(texts), words(want)))
+
+    with_trees, without = wrong(H.texts_of(bare, trees)), wrong(H.texts_of(bare, None))
+    assert with_trees < 0.5 * without and with_trees < 0.05 * sum(w.total() for w in words(want))
+
+
+def test_repeated_and_null_ids_of_pages(spark):
+    rows = [(i % 3 if i % 4 else None, "u", page(i, f"<article><p>{prose(i, 30)}</p></article>")) for i in range(40)]
+    got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["text"] for r in got) == sorted(prose(i, 30) for i in range(40))
+
+
 def test_decoding_never_goes_back_inside():
     p = H.Page("<div><p>a</p><div><p>b</p></div></div><p>c</p>")
     rng = np.random.default_rng(2)

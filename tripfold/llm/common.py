@@ -53,11 +53,27 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MARKS = ("_mark_a", "_mark_b")
+
+
+def with_marks(df: DataFrame) -> DataFrame:
+    """df and MARKS: two 64-bit hashes of each row's columns, nulls kept apart from other values."""
+    all_ = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
+    return df.withColumns({m: F.xxhash64(F.lit(k), *all_) for k, m in enumerate(MARKS)})
+
+
 def crc_mod(col, n: int):
     """crc32 of the id's decimal text, modulo n: the folds of the contracts."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def one_of_each_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text and _y for the ids (_id, _y; their number is bounded, so they are broadcast): one row an id,
+    however many rows of docs have it, with the first of their texts in order. A null text is an empty one."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("_y").alias("_y"))
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word. Two of k words share one by chance in k*k/2**65 cases."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

@@ -2,14 +2,16 @@
 
 A document's logit is a bias and the sum of the weights of its distinct words. Besides the log loss on
 document labels, training cuts the documents into sentences, swaps the identity terms in the labelled ones for
-terms of other groups and penalises the squared change of the logit, so that weight which a term draws only from the company it keeps is taken from it. Sentences that name no group get a term put in on
-both sides, so the penalty also binds where the sample mentions few groups.
+terms of other groups and penalises the squared change of the logit, so that weight which a term draws only from
+the company it keeps is taken from it. Every sentence of every training document counts in every pass; those
+that name no group get a term put in on both sides, so the penalty also binds where the sample mentions few groups.
 
 Training rows are a sample bounded by MAX_TRAIN (by hash of doc_id); one task fits the model. Words
 seen in fewer than MIN_DOCS of them have no weight. Scoring is one pass without a shuffle.
 
 Cases: a null or empty text has the bias alone for its logit; without any usable label every score is
-0.5; repeated rows give repeated results; an empty table gives no rows.
+0.5; of several labels of a document the larger counts, and of several rows with its id the first text in
+order is learned from; repeated rows give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.llm.common import crc_mod, hash_words, lean
+from tripfold.llm.common import crc_mod, hash_words, lean, one_of_each_id
 
 MAX_TRAIN = 8_000  # labelled documents the model is fitted on, at most
 MIN_DOCS = 4  # training documents that a word with a weight occurs in, at least
@@ -42,6 +44,13 @@ IDENTITY = (
 )
 _TERMS = {w: k for k, words in enumerate(IDENTITY) for w in words}
 _GROUP = {int(h): k for h, k in zip(hash_words([w.encode() for w in _TERMS]), _TERMS.values())}
+TERMS = np.array(sorted(_GROUP), np.uint64)
+_KIND = np.array([_GROUP[int(t)] for t in TERMS])
+_BY_KIND = np.argsort(_KIND, kind="stable")  # the terms of each kind side by side
+_KIND_SIZE = np.bincount(_KIND)
+_KIND_FIRST = np.cumsum(_KIND_SIZE) - _KIND_SIZE
+_AMONG = np.empty(len(TERMS), np.int64)  # a term's place among its kind
+_AMONG[_BY_KIND] = np.arange(len(TERMS)) - _KIND_FIRST[_KIND[_BY_KIND]]
 _WORDS = re.compile(r"[^\W_]+|[.!?\n]+")
 
 
@@ -75,24 +84,34 @@ class Batch:
         return np.bincount(self.doc, w[self.row], self.n) if len(self.row) else np.zeros(self.n)
 
 
-def swaps(docs: list, vocab: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of weight rows: an identity term of a sentence, and the term of another group that replaces it.
+class Swaps:
+    """Identity terms of each document's sentences, listed once: their places in TERMS, and how many sentences name none."""
 
-    With the words around it unchanged, the change of a sentence's logit is the difference of the two
-    weights. -1: a term without a weight.
-    """
-    terms = np.array(sorted(_GROUP), np.uint64)
-    at = np.searchsorted(vocab, terms)
-    row = np.where((at < len(vocab)) & (vocab[np.minimum(at, max(len(vocab) - 1, 0))] == terms) if len(vocab) else False, at, -1)
-    kind = np.array([_GROUP[int(t)] for t in terms])
-    old, new = [], []
-    for d in docs:
-        for s in d:
-            here = np.flatnonzero(np.isin(terms, s, assume_unique=True))
-            for t in here if len(here) else rng.integers(0, len(terms), 1):
-                others = np.flatnonzero(kind == kind[t])
-                old.append(row[t]), new.append(row[rng.choice(others[others != t])])
-    return np.array(old), np.array(new)
+    def __init__(self, docs: list, vocab: np.ndarray):
+        words = np.concatenate([x for d in docs for x in d])
+        sentence = np.repeat(np.arange(sum(map(len, docs))), [len(x) for d in docs for x in d])
+        doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])  # of each sentence
+        at = np.minimum(np.searchsorted(TERMS, words), len(TERMS) - 1)
+        hit = TERMS[at] == words
+        self.term, named = at[hit], np.zeros(len(doc), bool)
+        named[sentence[hit]] = True
+        self.first = np.searchsorted(doc[sentence[hit]], np.arange(len(docs) + 1))
+        self.blank = np.bincount(doc[~named], minlength=len(docs))
+        place = np.minimum(np.searchsorted(vocab, TERMS), max(len(vocab) - 1, 0))
+        self.row = np.where(vocab[place] == TERMS, place, -1) if len(vocab) else np.full(len(TERMS), -1)
+
+    def drawn(self, pick: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of weight rows for every sentence of the picked documents: each identity term (any one, where there
+        is none) and a term of another group that replaces it. -1: a term without a weight.
+
+        With the words around it unchanged, the change of a sentence's logit is the difference of the two weights.
+        """
+        size = self.first[pick + 1] - self.first[pick]
+        own = np.repeat(self.first[pick] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        old = np.r_[self.term[own], rng.integers(0, len(TERMS), self.blank[pick].sum())]
+        begin, many, among = _KIND_FIRST[_KIND[old]], _KIND_SIZE[_KIND[old]], _AMONG[old]
+        other = (rng.random(len(old)) * (many - 1)).astype(np.int64)
+        return self.row[old], self.row[_BY_KIND[begin + other + (other >= among)]]
 
 
 def fit(texts: list, labels: np.ndarray, seed: int = 11) -> dict:
@@ -102,7 +121,7 @@ def fit(texts: list, labels: np.ndarray, seed: int = 11) -> dict:
     vocab = seen[count >= MIN_DOCS]
     w, bias = np.zeros(len(vocab)), np.array([np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)) - 1])
     gw, gb = np.full(len(vocab), 1e-8), np.full(1, 1e-8)  # Adagrad
-    x = Batch(docs, vocab)
+    x, named = Batch(docs, vocab), Swaps(docs, vocab)
     first = np.searchsorted(x.doc, np.arange(len(docs) + 1))
     rows = [x.row[i:j] for i, j in zip(first, first[1:])]
     for epoch in range(EPOCHS):
@@ -117,11 +136,11 @@ def fit(texts: list, labels: np.ndarray, seed: int = 11) -> dict:
             z = np.bincount(doc, w[row], len(pick)) if len(row) else np.zeros(len(pick))
             d = (1 / (1 + np.exp(-np.clip(z + bias, -30, 30))) - labels[pick]) / len(pick)
             g = np.bincount(row, d[doc], len(vocab)) if len(row) else np.zeros(len(vocab))
-            old, new = swaps([docs[i] for i in pick[:: max(1, len(pick) // 32)]], vocab, rng)
+            old, new = named.drawn(pick, rng)
             weight = lambda r: np.where(r >= 0, w[np.maximum(r, 0)] if len(w) else 0.0, 0.0)
             change = SWAP * 2 * (weight(old) - weight(new)) / max(1, len(old))
-            np.add.at(g, old[old >= 0], change[old >= 0])
-            np.add.at(g, new[new >= 0], -change[new >= 0])
+            for at, by in ((old, change), (new, -change)):
+                g += np.bincount(at[at >= 0], by[at >= 0], len(vocab))
             if not choose:
                 g[w == 0] = 0
             gw, gb = gw + g * g, gb + d.sum() ** 2
@@ -137,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, kept, most: int = MAX_TRAIN) -> di
     """The model, fitted in one task; None without labelled rows. kept: the fold, a function of the id column."""
 
     def run(batches):
-        rows = sorted(((r["doc_id"], r["text"] or "", r["_y"]) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
+        rows = sorted(((r["doc_id"], r["text"] or "", r["_y"]) for b in batches for r in b.to_pylist()), key=lambda r: r[0])
         if rows:
             out = io.BytesIO()
             np.savez_compressed(out, **fit([t for _, t, _ in rows], np.array([y for _, _, y in rows])))
@@ -148,9 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, kept, most: int = MAX_TRAIN) -> di
         .where(F.col("_id").isNotNull() & F.col("_y").isNotNull()).where(kept("_id"))
         .groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     )
-    # at most `most` rows of two numbers: the broadcast has a fixed bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
-    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    got = one_of_each_id(docs, ids).repartition(1).mapInArrow(run, "model binary").collect()
     return dict(np.load(io.BytesIO(got[0]["model"]))) if got else None
 
 

@@ -22,13 +22,16 @@ occurrences, so chains of forms can't run in circles.
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.llm.common import shuffle_parts, stored
+from tripfold.llm.common import lean, shuffle_parts, stored
 
 LETTERS, TIMES = 6, 5  # code points and occurrences of a word, at least
 FORM_TIMES = 5  # a form's occurrences for each of the word's, at least
@@ -37,23 +40,46 @@ GROUPS, TOP = 24, 3  # letter groups; of these, at the top of the trie up to DEN
 DENSE = 1_000_000
 BLOCK, BYTES = 1 << 15, 1 << 22  # words and bytes of a block, at most
 SEARCHES, STATES, PAIRS = 1 << 13, 1 << 17, 1 << 19  # handled at a time
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+COUNTS = 400_000  # words that a counting task holds before it passes them on
+_RUNS = re.compile(f"[A-Za-zÀ-ÿ]{{{LETTERS},}}")  # greedy: whole runs
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """word and n: how often each word of at least LETTERS code points occurs in the texts, if at least TIMES.
+def words_in(doc_id, text: str | None) -> Counter:
+    """How often each word of at least LETTERS code points occurs in a text.
 
     A run's A-Z are lower-cased. Let h be the crc32 of "<doc_id>:<run>": if SPOILT divides h, the run loses
     its code point h modulo length.
     """
-    given = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.split(F.col("text"), "[^A-Za-zÀ-ÿ]+").alias("_runs"))
-    runs = given.select("_id", F.explode("_runs").alias("_run")).where(F.length("_run") >= LETTERS)
-    runs = runs.withColumn("_run", F.when(F.lower("_run") == F.col("_run"), F.col("_run")).otherwise(F.translate("_run", _UPPER, _LOWER)))
-    runs = runs.withColumn("_h", F.crc32(F.concat("_id", F.lit(":"), "_run").cast("binary")))
-    place = (F.col("_h") % F.length("_run")).cast("int")
-    spoilt = F.concat(F.substring("_run", F.lit(1), place), F.substring("_run", place + 2, F.length("_run")))
-    words = runs.select(F.when(F.col("_h") % SPOILT == 0, spoilt).otherwise(F.col("_run")).alias("word")).where(F.length("word") >= LETTERS)
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= TIMES)
+    seed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    runs = Counter(_RUNS.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")))  # bytes know only A-Z
+    spoilt = [(w, h) for w in runs if (h := zlib.crc32(w.encode(), seed)) % SPOILT == 0]
+    cut = [(w[: h % len(w)] + w[h % len(w) + 1 :], runs.pop(w)) for w, h in spoilt]
+    for w, n in cut:
+        if len(w) >= LETTERS:
+            runs[w] += n
+    return runs
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """word and n: how often each word occurs in the texts, if at least TIMES."""
+
+    def run(batches):
+        have: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), pa.array(list(have.values()), pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                have.update(words_in(doc_id, text))
+                if len(have) > COUNTS:
+                    yield out()
+                    have = Counter()
+        if have:
+            yield out()
+
+    words = docs.select("doc_id", "text").mapInArrow(run, "word string, n long")
+    return words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= TIMES)
 
 
 def letter_groups(words: DataFrame) -> list[str]:
@@ -249,4 +275,5 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
 
 
 def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,16 +1,18 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are all word n-grams of the test items, so any SEED unchanged words in a row of a copy hold one. A
+Seeds are word n-grams of the test items that occur in the corpus, and are rare in it: at most one document
+in RARE has them, or no more than FEW. Of the frequent ones, which would make most documents a candidate of
+most items, only those stay that are the rarest of RUN n-grams in a row of their item, so that an item of
+everyday words has seeds as well. Any SEED unchanged words in a row of a copy hold an n-gram of the item,
+and a rare one is always a seed, however often its neighbours occur. A
 document that holds a seed is aligned to the item around it, word by word (match 1, mismatch and gap
 -0.5), unless it has too few of the item's words for a leak whatever their order. The best local score
 divided by the item's words, 1 for a verbatim copy, tells copies with edits, insertions and changed words
-from chance. Words are compared in lower case without ASCII punctuation. How often a seed occurs in the
-corpus doesn't matter: one that occurs nowhere can't hit, and where the whole benchmark occurs as edited
-copies, the rarest n-grams are those that the edits broke.
+from chance. Words are compared in lower case without ASCII punctuation.
 
 Items are taken in blocks of at most about BLOCK bytes (by hash of item_id, as many blocks as the
-benchmark needs); each block is broadcast and meets all documents in one scan. Documents aren't
-shuffled.
+benchmark needs); each block is broadcast and meets all documents in two scans, one that counts the
+documents that have each n-gram and one that aligns. Documents aren't shuffled.
 
 Cases: null or empty texts have no leaks; items of fewer than SEED words match nothing; two items with
 equal texts both match; repeated document rows give repeated results; empty tables give no leaks.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from tripfold.llm.common import hash_words, lean, ngram_hashes
 
 SEED = 3  # words of a seed
+RARE, FEW, RUN = 50, 1_000, 3  # see above
 LEAK = 0.5  # score from which a passage is a leak
 OFF = 0.5  # cost of a mismatch or gap
 BLOCK = 4_000_000  # bytes of the items that are broadcast together
@@ -53,6 +56,27 @@ class Items:
         self.grams, self.item, self.at = self.grams[order], self.item[order], self.at[order]
         self.distinct = np.unique(self.grams)
 
+    def choose(self, counts: np.ndarray, most: float) -> None:
+        """Keeps the n-grams that are seeds. counts: of the documents that have each of the distinct ones."""
+        count = counts[np.searchsorted(self.distinct, self.grams)].astype(float)
+        count[count == 0] = np.inf
+        order = np.lexsort((self.at, self.item))
+        c, item = count[order], self.item[order]
+        seed, full = c <= most, np.minimum(RUN, np.bincount(item)[item] if len(item) else 0)
+        for k in range(RUN):  # the run that begins k places before; in a short item, all of it
+            low, inside_n = np.full(len(c), np.inf), np.zeros(len(c), np.int64)
+            for j in range(RUN):
+                at = np.arange(len(c)) - k + j
+                inside = (at >= 0) & (at < len(c))
+                inside[inside] = item[at[inside]] == item[inside]
+                low[inside] = np.minimum(low[inside], c[at[inside]])
+                inside_n += inside
+            seed |= (c == low) & np.isfinite(c) & (inside_n == full)
+        keep = np.empty(len(c), bool)
+        keep[order] = seed
+        self.grams, self.item, self.at = self.grams[keep], self.item[keep], self.at[keep]
+        self.distinct = np.unique(self.grams)
+
     def sieve(self) -> np.ndarray:
         out = np.zeros(SIEVE, bool)
         out[(self.distinct & np.uint64(SIEVE - 1)).astype(np.int64)] = True
@@ -143,15 +167,36 @@ def leaks_in(texts: list, items: Items, sieve: np.ndarray) -> list:
     return out
 
 
+def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """How many documents have each of the items' distinct n-grams."""
+    held = docs.sparkSession.sparkContext.broadcast((items.distinct, items.sieve()))
+
+    def run(batches):
+        total = np.zeros(len(held.value[0]), np.int64)
+        for b in batches:
+            found = [np.unique(hits(ngram_hashes(words_of(t), SEED), *held.value)[1]) for t in b.column(0).to_pylist()]
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    out = np.zeros(len(items.distinct), np.int64)
+    for r in docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each n-gram of a block
+        out[r["at"]] = r["n"]
+    held.destroy()
+    return out
+
+
 def blocks(docs: DataFrame, benchmark: DataFrame):
     """Blocks of items with their seeds, broadcast one after another."""
     spark = docs.sparkSession
     given = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     size = given.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // BLOCK)
+    n, most = -(-size // BLOCK), max(FEW, docs.count() / RARE)
     for k in range(n):
         rows = given.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # about BLOCK bytes
         items = Items(sorted((r["item_id"], r["text"]) for r in rows))
+        items.choose(document_counts(docs, items), most)
         yield spark.sparkContext.broadcast((items, items.sieve()))
 
 

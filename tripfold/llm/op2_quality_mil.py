@@ -10,7 +10,8 @@ Training rows are a sample bounded by MAX_TRAIN (by hash of doc_id, so reruns ag
 the model, whose size is fixed. Scoring is one pass over all documents without a shuffle.
 
 Cases: a null or empty text is a bag of one empty passage and gets a score like any other; without any
-usable label every score is 0.5; repeated rows give repeated results; an empty table gives no rows.
+usable label every score is 0.5; of several labels of a document the larger counts, and of several rows with
+its id the first text in order is learned from; repeated rows give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tripfold.llm.common import crc_mod, hash_words, lean
+from tripfold.llm.common import crc_mod, hash_words, lean, one_of_each_id
 
 PASSAGE = 64  # words of a passage
 WORDS, SHAPES, DIM, ATT = 1 << 14, 1 << 10, 16, 12  # rows of the vector tables, encoder and attention width
@@ -176,8 +177,7 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str, kept, most: int)
         .groupBy("_id").agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id").limit(most)
     )
-    # at most `most` rows of two numbers: the broadcast has a fixed bound
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
+    return one_of_each_id(docs, ids)
 
 
 def train(docs: DataFrame, labels: DataFrame, kept, most: int = MAX_TRAIN) -> dict | None:
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, kept, most: int = MAX_TRAIN) -> di
 
     def run(batches):
         rows = [r for b in batches for r in b.to_pylist()]
-        rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+        rows.sort(key=lambda r: r["doc_id"])
         if rows:
             m = fit([r["text"] for r in rows], np.array([r["_y"] for r in rows], np.float32))
             yield pa.RecordBatch.from_pydict({"model": [_packed(m)]})

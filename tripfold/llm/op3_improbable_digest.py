@@ -2,8 +2,9 @@
 
 Every window of WINDOW bytes has an entropy. How often each entropy occurs is counted over the whole
 corpus, and a window's rank is the rarity of its entropy: the rarer, the lower. Within each run of NEAR
-windows the first of the lowest rank gets a vote; windows with VOTES or more are the features. They go,
-in the order of the text, into a chain of Bloom filters of BITS bits, FEATURES to each. Two digests
+windows the first of the lowest rank gets a vote; windows with VOTES or more (where none has as many, those
+with the most) are the features. They go, in the order of the text, into a chain of Bloom filters of BITS
+bits, FEATURES to each. Two digests
 are compared filter by filter: the overlap of set bits, less what chance gives, divided by the most
 that it can be; each filter of the shorter chain counts with its best partner.
 
@@ -15,7 +16,10 @@ The next document is found by range-partitioning once by doc_id: parts are cut a
 the first row of a part also goes to the part before. No task sees more than a part.
 
 Cases: a null text is the empty one; in texts of less than SHORT bytes, too few to choose from, every window
-of SMALL bytes is a feature (one padded window in the shortest); an empty text has no feature, its likeness is 1 to another without features and 0 to the rest; of a single document the
+of SMALL bytes is a feature (one padded window in the shortest); texts from SHORT to twice as many bytes have
+both kinds, each in filters of its own, so that a text and a cut copy of it always share a kind; an empty text
+has no feature, its likeness is 1 to another without features and 0 to the rest; filters of very long texts are
+compared in blocks of PAIRS; of a single document the
 next is itself; rows with equal ids follow one another by text; an empty table gives no rows.
 """
 
@@ -32,9 +36,10 @@ from pyspark.sql import functions as F
 from tripfold.llm.common import bounds_of, lean, mixed, shuffle_parts
 
 WINDOW, NEAR, VOTES = 32, 32, 8
-SHORT, SMALL = 4 * WINDOW, 8  # bytes of a short text, and of the windows that are its features, all of them
+SHORT, SMALL = 4 * WINDOW, 8  # bytes below which a text is short, and of the windows that are its features, all of them
 BITS, FEATURES, HASHES = 2048, 128, 5
 LEVELS = 1 << 10  # steps of entropy
+PAIRS = 1 << 18  # pairs of filters that are compared at a time
 _G = np.rint(np.r_[0, np.arange(1, WINDOW + 2) * np.log2(np.arange(1, WINDOW + 2))] * (1 << 20)).astype(np.int64)  # c log c
 _TOP = int(_G[WINDOW])
 
@@ -55,26 +60,8 @@ def entropies(data: np.ndarray) -> np.ndarray:
     return (_TOP - np.r_[first, first + np.cumsum(step)]) * (LEVELS - 1) // _TOP
 
 
-def features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """64-bit hashes of a text's features, in order. rank: of each entropy step, low for rare ones."""
-    if not len(data):
-        return np.empty(0, np.uint64)
-    if len(data) < SHORT:
-        padded = np.concatenate([data, np.zeros(max(0, SMALL - len(data)), np.uint8)])
-        windows = padded[np.arange(len(padded) - SMALL + 1)[:, None] + np.arange(SMALL)]
-    else:
-        r = rank[entropies(data)]
-        n = len(r)
-        key = r * (1 << 32) + np.arange(n)  # the first of equal ranks wins
-        near, span = min(NEAR, n), 1
-        low = key
-        while 2 * span <= near:
-            low, span = np.minimum(low[: len(low) - span], low[span:]), 2 * span
-        if span < near:
-            low = np.minimum(low[: n - near + 1], low[near - span :])
-        votes = np.bincount(low & 0xFFFFFFFF, minlength=n)
-        pick = np.flatnonzero(votes >= min(VOTES, len(low)))
-        windows = data[pick[:, None] + np.arange(WINDOW)]
+def hashed(windows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window, a row of bytes."""
     words = np.ascontiguousarray(windows).view("<u8")
     h = np.zeros(len(words), np.uint64)
     with np.errstate(over="ignore"):
@@ -83,28 +70,59 @@ def features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return mixed(h, 9)
 
 
-def digest(h: np.ndarray) -> np.ndarray:
-    """The chain: a row of BITS / 8 bytes for each filter."""
-    chain = np.zeros((-(-len(h) // FEATURES), BITS), bool)
-    link = np.arange(len(h)) // FEATURES
-    for k in range(HASHES):
-        chain[link, (mixed(h, 20 + k) & np.uint64(BITS - 1)).astype(np.int64)] = True
+def chosen(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places of the windows that are features. rank: of each entropy step, low for rare ones."""
+    r = rank[entropies(data)]
+    n = len(r)
+    key = r * (1 << 32) + np.arange(n)  # the first of equal ranks wins
+    near, span = min(NEAR, n), 1
+    low = key
+    while 2 * span <= near:
+        low, span = np.minimum(low[: len(low) - span], low[span:]), 2 * span
+    if span < near:
+        low = np.minimum(low[: n - near + 1], low[near - span :])
+    votes = np.bincount(low & 0xFFFFFFFF, minlength=n)
+    return np.flatnonzero(votes >= min(VOTES, votes.max()))
+
+
+def features(data: np.ndarray, rank: np.ndarray) -> list:
+    """64-bit hashes of a text's features, in order: of the windows of WINDOW bytes, and of those of SMALL bytes."""
+    out = []
+    if len(data) >= SHORT:
+        out.append(hashed(data[chosen(data, rank)[:, None] + np.arange(WINDOW)]))
+    if 0 < len(data) < 2 * SHORT:
+        padded = np.concatenate([data, np.zeros(max(0, SMALL - len(data)), np.uint8)])
+        out.append(hashed(padded[np.arange(len(padded) - SMALL + 1)[:, None] + np.arange(SMALL)]))
+    return out
+
+
+def digest(kinds: list) -> np.ndarray:
+    """The chain: a row of BITS / 8 bytes for each filter. Each kind of features has its own filters."""
+    links = [np.arange(len(h)) // FEATURES for h in kinds]
+    begin = np.cumsum([0, *(int(x[-1]) + 1 for x in links)])
+    chain = np.zeros((begin[-1], BITS), bool)
+    for h, link, at in zip(kinds, links, begin):
+        for k in range(HASHES):
+            chain[at + link, (mixed(h, 20 + k) & np.uint64(BITS - 1)).astype(np.int64)] = True
     return np.packbits(chain, axis=1)
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
-
-
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if len(a) > len(b):
         a, b = b, a
-    na, nb = _ONES[a].sum(1), _ONES[b].sum(1)
-    both = _ONES[a[:, None] & b[None]].sum(2)
-    most, chance = np.minimum(na[:, None], nb[None]), na[:, None] * nb[None] / BITS
-    score = np.where(most > chance, (both - chance) / np.maximum(most - chance, 1e-9), both >= most)
-    return float(np.clip(score.max(1), 0, 1).mean())
+    a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+    na, nb = np.bitwise_count(a).sum(1, dtype=np.int64), np.bitwise_count(b).sum(1, dtype=np.int64)
+    step, best = max(1, PAIRS // len(b)), []
+    for k in range(0, len(a), step):
+        both = np.zeros((len(a[k : k + step]), len(b)), np.int64)
+        for w in range(a.shape[1]):
+            both += np.bitwise_count(a[k : k + step, w, None] & b[None, :, w])
+        n = na[k : k + step, None]
+        most, chance = np.minimum(n, nb[None]), n * nb[None] / BITS
+        best.append(np.where(most > chance, (both - chance) / np.maximum(most - chance, 1e-9), both >= most).max(1))
+    return float(np.clip(np.concatenate(best), 0, 1).mean())
 
 
 def _bytes(text: str) -> np.ndarray:

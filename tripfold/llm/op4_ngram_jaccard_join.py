@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tripfold.llm.common import lean, mixed, shingle_hashes, stored
+from tripfold.llm.common import MARKS, lean, mixed, shingle_hashes, stored, with_marks
 from tripfold.llm.components import components
 
 ORDERS = 2  # further orders, besides the one by rarity
@@ -47,8 +47,8 @@ def _sets(text, words: int) -> tuple[np.ndarray, int]:
     return s, (int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), len(s))).view(np.int64)) if len(s) else 0)
 
 
-def documents_and_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_id, n_low and low for each row; low: the tokens that may be in the set's
+def documents_and_tokens(docs: DataFrame, words: int, percent: int, marks: tuple = ()) -> DataFrame:
+    """doc_id, n_shingles, set_id, n_low, low and the long columns `marks` for each row; low: the tokens that may be in the set's
     prefix (null where this task has given them for an equal set before)."""
     limit = np.uint64(int(2**64 * 2 * (100 - percent) / 100) if percent > 50 else 2**64 - 1)
 
@@ -68,11 +68,11 @@ def documents_and_tokens(docs: DataFrame, words: int, percent: int) -> DataFrame
                         low = s[np.argpartition(rank, count - 1)[:count]].view(np.int64)
                 ns.append(n), keys.append(key), counts.append(count), lows.append(low)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(lows, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "n_low", "low"],
+                [ids, pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(lows, pa.list_(pa.int64())), *b.columns[2:]],
+                ["doc_id", "n_shingles", "set_id", "n_low", "low", *marks],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, n_low long, low array<long>")
+    return docs.select("doc_id", "text", *marks).mapInArrow(run, ", ".join(["doc_id long, n_shingles long, set_id long, n_low long, low array<long>", *(f"{m} long" for m in marks)]))
 
 
 def sieve(ids: DataFrame):
@@ -264,15 +264,20 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut.repartition("leader", "x", "y").sortWithinPartitions("leader", "x", "y", "set_id").mapInArrow(run, "a long, b long")
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id per row: components of the links whose similarity is percent/100 or more."""
-    tokens = stored(documents_and_tokens(docs, words, percent))
+def least_of_sets(docs: DataFrame, tokens: DataFrame, words: int, percent: int, value) -> DataFrame:
+    """_set and least: the least value (a column of tokens) among the rows of a set's component."""
     members = leaders(tokens, percent)
     classes = components(stored(links(members, sets_of(docs, members, words), percent)))
-    ids = tokens.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    ids = tokens.where("n_shingles > 0").groupBy("set_id").agg(F.min(value).alias("first"))
     classed = ids.join(classes, ids["set_id"] == classes["node"], "left").select("set_id", "first", F.coalesce("component", "set_id").alias("class"))
     least = classed.groupBy("class").agg(F.min("first").alias("least"))
-    of_set = classed.join(least, "class").select(F.col("set_id").alias("_set"), "least")
+    return classed.join(least, "class").select(F.col("set_id").alias("_set"), "least")
+
+
+def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id per row: components of the links whose similarity is percent/100 or more."""
+    tokens = stored(documents_and_tokens(docs, words, percent))
+    of_set = least_of_sets(docs, tokens, words, percent, F.col("doc_id"))
     out = tokens.select("doc_id", "n_shingles", "set_id")
     return (
         out.join(of_set, (out["set_id"] == of_set["_set"]) & (out["n_shingles"] > 0), "left")
@@ -281,19 +286,25 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays,
-    one row if that doc_id is repeated. Rows without a doc_id stay."""
-    found = stored(ngram_jaccard_join(docs, words, percent))
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-
-    kept = docs.join(held(stored(drop)), "doc_id", "left_anti").select(docs.columns)
-    repeated = stored(repeated)
-    if not repeated.isEmpty():
-        again = held(repeated)
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-        kept = kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
-    return kept
+    """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays (null
+    after all others; of several, the one with the least hash of all its columns; of equal rows, one). Rows
+    without words stay. Rows are told apart by that hash (128 bits), so ids may be null or repeated."""
+    marked = with_marks(docs)
+    tokens = stored(documents_and_tokens(marked, words, percent, MARKS))
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *MARKS)
+    of_set = least_of_sets(docs, tokens, words, percent, first)
+    rows = tokens.where("n_shingles > 0").select("set_id", *MARKS)
+    rows = rows.join(of_set, rows["set_id"] == of_set["_set"])
+    first_ones = " and ".join(f"{m} = least.{m}" for m in MARKS)
+    drop = stored(rows.where(f"not ({first_ones})").select(*MARKS).distinct())
+    equal = stored(rows.where(first_ones).groupBy(*MARKS).count().where("count > 1").select(*MARKS))
+
+    kept = marked.join(held(drop), [*MARKS], "left_anti")
+    if not equal.isEmpty():
+        again = held(equal)
+        once = kept.join(again, [*MARKS], "left_semi").dropDuplicates([*MARKS])
+        kept = kept.join(again, [*MARKS], "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tripfold.llm.common import lean, shuffle_parts, stored
+from tripfold.llm.common import MARKS, lean, shuffle_parts, stored, with_marks
 
 WEIGHTS = (1, 2, 3)  # of the sources in code-point order, repeating
 REPEATS = 3  # a document is taken so often at most
@@ -65,12 +65,12 @@ def targets(sized: DataFrame) -> DataFrame:
     return weighed.select("_source", "source_size", F.least(cap.cast("double"), F.lit(level) * F.col("_weight")).alias("target"))
 
 
-def queue(docs: DataFrame) -> DataFrame:
-    """doc_id, _source, _size, source_size, target and _n: a row per document of the mix, _n telling how
-    often the mix takes it (0 to REPEATS)."""
+def queue(docs: DataFrame, marks: tuple = ()) -> DataFrame:
+    """doc_id, _source, _size, the columns `marks`, source_size, target and _n: a row per document of the mix,
+    _n telling how often the mix takes it (0 to REPEATS)."""
     spark = docs.sparkSession
     given = stored(
-        with_size(docs).select("doc_id", F.col("source").alias("_source"), "_size")
+        with_size(docs).select("doc_id", F.col("source").alias("_source"), "_size", *marks)
         .withColumn("_hash", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 1))
     )
     goal = targets(given.select("_source", "_size"))
@@ -83,9 +83,9 @@ def queue(docs: DataFrame) -> DataFrame:
     sums = sums.join(goal.withColumnRenamed("_source", "_goal_source"), F.col("_source").eqNullSafe(F.col("_goal_source"))).drop("_goal_source", "_sum")
     rows = (
         cut.alias("c").join(sums.alias("s"), F.col("c._source").eqNullSafe(F.col("s._source")) & (F.col("c._slice") == F.col("s._slice")))
-        .select("c.doc_id", "c._source", "c._size", "c._hash", "c._slice", "s._before", "s.source_size", "s.target")
+        .select("c.doc_id", "c._source", "c._size", *[f"c.{m}" for m in marks], "c._hash", "c._slice", "s._before", "s.source_size", "s.target")
     )
-    within = Window.partitionBy("_source", "_slice").orderBy("_hash", "doc_id", "_size")
+    within = Window.partitionBy("_source", "_slice").orderBy("_hash", "doc_id", "_size", *marks)
     rows = rows.withColumn("_place", F.row_number().over(within)).withColumn("_sum", F.col("_before") + F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     rows = stored(rows)
     copies = (
@@ -112,7 +112,7 @@ def queue(docs: DataFrame) -> DataFrame:
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in key]
     return (
         rows.alias("r").join(taken.alias("t"), same[0] & same[1] & same[2], "left")
-        .select("r.doc_id", "r._source", "r._size", "r.source_size", "r.target", F.coalesce("t._n", F.lit(0)).alias("_n"))
+        .select("r.doc_id", "r._source", "r._size", *[f"r.{m}" for m in marks], "r.source_size", "r.target", F.coalesce("t._n", F.lit(0)).alias("_n"))
     )
 
 
@@ -122,11 +122,16 @@ def source_mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken. Rows of one doc_id are alike in source and
-    text or taken by the largest number of any of them."""
-    often = queue(docs).where("_n > 0").groupBy("doc_id").agg(F.max("_n").alias("_n"))
-    times = often.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_mix_round")).drop("_mix_round")
-    return docs.join(times, "doc_id").select(docs.columns)
+    """The documents of the mix, each as often as it is taken. Rows are told apart by a hash of all their columns
+    (128 bits), so that ids may be null or repeated; rows that are equal throughout are taken as often as all of
+    them together."""
+    marked = with_marks(docs)
+    taken = queue(marked, MARKS).where("_n > 0").groupBy(*MARKS).agg(F.sum("_n").alias("_n"), F.count("*").alias("_equal"))
+    rows = marked.join(taken.withColumnsRenamed({m: f"{m}_of" for m in MARKS}), F.expr(" and ".join(f"{m} = {m}_of" for m in MARKS)))
+    # rows with others equal to them become one, which stands for all
+    more = rows.where("_equal > 1").groupBy(*MARKS).agg(F.min(F.struct("_n", *docs.columns)).alias("_row")).select("_row.*")
+    times = rows.where("_equal = 1").select("_n", *docs.columns).unionByName(more.select("_n", *docs.columns))
+    return times.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(docs.columns)
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:

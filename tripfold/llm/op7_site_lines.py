@@ -4,20 +4,25 @@ A line is boilerplate of its site if at least LEAST of the site's pages hold it
 one in ONE_IN of all its pages. Such lines are dropped from the site's pages; blank lines stay. Lines
 are counted by two 64-bit hashes (128 bits), once a page and combined before the shuffle. A site has at
 most ONE_IN times as many boilerplate lines as a page has lines on average, so the lists that go back to
-the pages are short; they are joined by site, and Spark broadcasts them while they are small and splits
-a large site's pages otherwise.
+the pages are short: up to LISTED of them are counted and broadcast, so that no text is shuffled; more are
+joined by site, and Spark splits a large site's pages.
 
-Cases: a null text is an empty one (one blank line); pages of a null site form a site; repeated rows are
-pages of their own; an empty table gives no rows.
+A page's site is the host of its url (site_pages), or any column (site_lines).
+
+Cases: a null text is an empty one (one blank line); pages of a null site form a site, and so do those whose
+url has no host; repeated rows are pages of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripfold.llm.common import stored
+
 ONE_IN = 20
 LEAST = 3
+LISTED = 200_000  # boilerplate lines that are broadcast (16 bytes each and their sites' names), at most
 
 
 def site_lines(pages: DataFrame, key: str, text: str, site) -> DataFrame:
@@ -29,10 +34,10 @@ def site_lines(pages: DataFrame, key: str, text: str, site) -> DataFrame:
     held = given.select("_site", F.explode(F.array_distinct(F.transform(F.filter("_lines", lambda x: F.trim(x) != ""), mark))).alias("_line"))
     lines = held.groupBy("_site", "_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST)
     total = given.groupBy("_site").agg(F.count("*").alias("_pages")).withColumnRenamed("_site", "_of")
-    boilerplate = (
-        lines.join(total, F.col("_site").eqNullSafe(F.col("_of"))).where(F.col("_n") * ONE_IN > F.col("_pages"))
-        .groupBy(F.col("_site").alias("_at")).agg(F.collect_list("_line").alias("_drop"))
-    )
+    found = stored(lines.join(total, F.col("_site").eqNullSafe(F.col("_of"))).where(F.col("_n") * ONE_IN > F.col("_pages")).select("_site", "_line"))
+    boilerplate = found.groupBy(F.col("_site").alias("_at")).agg(F.collect_list("_line").alias("_drop"))
+    if found.count() <= LISTED:
+        boilerplate = F.broadcast(boilerplate)
     kept = given.join(boilerplate, F.col("_site").eqNullSafe(F.col("_at")), "left").withColumn(
         "_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_drop", mark(x))))
     )
@@ -42,6 +47,16 @@ def site_lines(pages: DataFrame, key: str, text: str, site) -> DataFrame:
     )
 
 
+def host_of(url) -> Column:
+    """The host of a url in lower case, null if it has none."""
+    return F.lower(F.try_parse_url(F.col(url) if isinstance(url, str) else url, F.lit("HOST")))
+
+
+def site_pages(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
+    """site_lines of pages whose site is their url's host."""
+    return site_lines(pages, key, text, host_of(url))
+
+
 def op7_site_lines(spark, sf_dir: str) -> DataFrame:
     """The source of a document is its site."""
     return site_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source")

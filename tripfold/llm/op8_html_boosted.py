@@ -14,7 +14,8 @@ Changes cost SWITCH. The text of inside elements is put out in page order.
 
 Cases: a null or empty html gives an empty text; html without tags is one block; an element's text ends
 with the page if it isn't closed; repeated rows give repeated results; an empty table gives no rows;
-without any told element in the sample, text outside boilerplate elements is kept.
+without any told element in the sample, text outside boilerplate elements is kept; of several rows with a
+page_id the first html in order is learned from.
 """
 
 from __future__ import annotations
@@ -305,7 +306,7 @@ def fitted(pages: DataFrame) -> Trees | None:
     ids = pages.select(F.col("page_id").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(MAX_TRAIN)
 
     def run(batches):
-        rows = sorted((r["page_id"], r["html"] or "") for b in batches for r in b.to_pylist())
+        rows = sorted((r["page_id"], r["html"]) for b in batches for r in b.to_pylist())
         found = [measured(Page(h)) for _, h in rows]
         if not found:
             return
@@ -318,8 +319,8 @@ def fitted(pages: DataFrame) -> Trees | None:
             np.savez_compressed(out, split=trees.split, cut=trees.cut, leaf=trees.leaf, base=trees.base)
             yield pa.RecordBatch.from_pydict({"trees": [out.getvalue()]})
 
-    # MAX_TRAIN ids at most
-    sample = pages.select("page_id", "html").join(F.broadcast(ids), F.col("page_id") == F.col("_id"), "left_semi")
+    # MAX_TRAIN ids at most, and one page for each, however many rows have it
+    sample = pages.select("page_id", "html").join(F.broadcast(ids), F.col("page_id") == F.col("_id"), "left_semi").groupBy("page_id").agg(F.min(F.coalesce("html", F.lit(""))).alias("html"))
     got = sample.repartition(1).mapInArrow(run, "trees binary").collect()
     if not got:
         return None
