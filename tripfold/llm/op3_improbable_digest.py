@@ -39,9 +39,10 @@ WINDOW, NEAR, VOTES = 32, 32, 8
 SHORT, SMALL = 4 * WINDOW, 8  # bytes below which a text is short, and of the windows that are its features, all of them
 BITS, FEATURES, HASHES = 2048, 128, 5
 LEVELS = 1 << 10  # steps of entropy
-PAIRS = 1 << 18  # pairs of filters that are compared at a time
+PAIRS = 1 << 16  # pairs of filters that are compared at a time, or those of one filter
 _G = np.rint(np.r_[0, np.arange(1, WINDOW + 2) * np.log2(np.arange(1, WINDOW + 2))] * (1 << 20)).astype(np.int64)  # c log c
 _TOP = int(_G[WINDOW])
+_SALTS = np.array([(20 + k) * 0x9E3779B97F4A7C15 & (2**64 - 1) for k in range(HASHES)], np.uint64)  # those of mixed
 
 
 def entropies(data: np.ndarray) -> np.ndarray:
@@ -102,8 +103,7 @@ def digest(kinds: list) -> np.ndarray:
     begin = np.cumsum([0, *(int(x[-1]) + 1 for x in links)])
     chain = np.zeros((begin[-1], BITS), bool)
     for h, link, at in zip(kinds, links, begin):
-        for k in range(HASHES):
-            chain[at + link, (mixed(h, 20 + k) & np.uint64(BITS - 1)).astype(np.int64)] = True
+        chain[(at + link)[:, None], (mixed(h[:, None] ^ _SALTS) & np.uint64(BITS - 1)).astype(np.int64)] = True
     return np.packbits(chain, axis=1)
 
 
@@ -116,9 +116,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     na, nb = np.bitwise_count(a).sum(1, dtype=np.int64), np.bitwise_count(b).sum(1, dtype=np.int64)
     step, best = max(1, PAIRS // len(b)), []
     for k in range(0, len(a), step):
-        both = np.zeros((len(a[k : k + step]), len(b)), np.int64)
-        for w in range(a.shape[1]):
-            both += np.bitwise_count(a[k : k + step, w, None] & b[None, :, w])
+        both = np.bitwise_count(a[k : k + step, None] & b[None]).sum(2, dtype=np.int64)
         n = na[k : k + step, None]
         most, chance = np.minimum(n, nb[None]), n * nb[None] / BITS
         best.append(np.where(most > chance, (both - chance) / np.maximum(most - chance, 1e-9), both >= most).max(1))
