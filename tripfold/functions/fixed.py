@@ -16,6 +16,7 @@ FALLBACK_CATEGORIES = {"attractions": "公园", "food": "中餐", "hotels": "商
 CITY_KEY_SUFFIXES = ("市", "区", "县", "自治州", "地区")
 CITY_TRY_SUFFIXES = ("市", "省", "区", "县", "州", "盟", "旗", "地区")
 PLACEHOLDER_SUFFIX = "市辖区"
+TERMINAL_SUFFIXES = ("省", "市", "区", "县", "旗", "盟", "州", "地区", "林区", "特区")
 
 # --- preference paths -------------------------------------------------------
 CANONICAL_SEGMENTS = (
@@ -25,6 +26,17 @@ CANONICAL_SEGMENTS = (
 )
 PATH_PREFIXES = ("global_constraints.", "city_specific_preferences.")
 MAX_EDITS_PER_USER = 2
+GLOBAL_SECTION, CITY_SECTION = "global_constraints", "city_specific_preferences"
+GLOBAL_SCALARS = ("avg_budget", "intensity.max_poi_per_day", "intensity.max_active_hours")
+GLOBAL_LISTS = (
+    "transport.must", "transport.prefer", "transport.avoid", "transport.reject",
+    "hotel_preference.prefer", "hotel_preference.avoid",
+)
+CITY_LISTS = (
+    "attractions.must_visit", "attractions.reject_visit",
+    "attractions.category_pref.positive", "attractions.category_pref.negative",
+    "food.must_eat", "food.prefer_eat", "food.avoid_eat", "food.reject_eat",
+)
 
 # --- activities -------------------------------------------------------------
 SPLITTABLE_TYPES = ("attraction", "food", "rest", "intracity_transport")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import col
+from .columns import bind, col
 
 
 def strict_variant(text: Column | str) -> Column:
@@ -13,21 +13,25 @@ def strict_variant(text: Column | str) -> Column:
 
     ``try_parse_json`` alone accepts trailing characters after the first value.
     """
-    c = col(text)
-    as_list = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
-    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    return F.when((F.size(as_list) == 1) & as_field.isNotNull(), F.get(as_list, F.lit(0)))
+    def parsed(c: Column) -> Column:
+        as_list = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+        as_field = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+        return bind(as_list, lambda x: F.when((F.size(x) == 1) & as_field.isNotNull(), F.get(x, F.lit(0))))
+
+    return bind(col(text), parsed)
 
 
 def variant_kind(v: Column) -> Column:
     """JSON type name of a VARIANT: string, integer, number, boolean, array, object, null."""
-    s = F.schema_of_variant(v)
-    return (F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
-            .when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
-            .when(s == "VOID", "null")
-            .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
-            .when(s.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
-            .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "number"))
+    def named(s: Column) -> Column:
+        return (F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
+                .when(s == "STRING", "string").when(s == "BOOLEAN", "boolean")
+                .when(s == "VOID", "null")
+                .when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
+                .when(s.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
+                .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "number"))
+
+    return bind(F.schema_of_variant(v), named)
 
 
 def json_kind(text: Column | str) -> Column:
@@ -50,12 +54,15 @@ def quote(text: Column) -> Column:
 def cache_key(params: Column | str) -> Column:
     """Key-sorted ``[[k,v],…]`` of a JSON object; anything else unchanged."""
     c = col(params)
-    m = as_map(strict_variant(c))
-    pairs = F.transform(
-        F.array_sort(F.map_keys(m)),
-        lambda k: F.concat(F.lit("["), quote(k), F.lit(","),
-                           F.coalesce(F.to_json(F.element_at(m, k)), F.lit("null")), F.lit("]")))
-    return F.when(m.isNotNull(), F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]"))).otherwise(c)
+
+    def sorted_pairs(m: Column) -> Column:
+        pairs = F.transform(
+            F.array_sort(F.map_keys(m)),
+            lambda k: F.concat(F.lit("["), quote(k), F.lit(","),
+                               F.coalesce(F.to_json(F.element_at(m, k)), F.lit("null")), F.lit("]")))
+        return F.when(m.isNotNull(), F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]"))).otherwise(c)
+
+    return bind(as_map(strict_variant(c)), sorted_pairs)
 
 
 def params_of(key: Column | str) -> Column:
@@ -64,26 +71,36 @@ def params_of(key: Column | str) -> Column:
     items = F.try_variant_get(strict_variant(key), "$", "array<variant>")
     pairs = F.filter(F.transform(items, lambda x: F.try_variant_get(x, "$", "array<variant>")),
                      lambda p: F.coalesce(F.size(p) == 2, F.lit(False)))
-    named = F.transform(pairs, lambda p: F.struct(as_text(F.get(p, F.lit(0))).alias("k"),
-                                                  F.coalesce(F.to_json(F.get(p, F.lit(1))), F.lit("null")).alias("v")))
-    named = F.filter(named, lambda e: e["k"].isNotNull())
-    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda f: f["k"] == e["k"]))
-    body = F.transform(last, lambda e: F.concat(quote(e["k"]), F.lit(":"), e["v"]))
-    return F.when(F.size(body) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
+    named = F.filter(F.transform(pairs, lambda p: F.struct(as_text(F.get(p, F.lit(0))).alias("k"),
+                                                           F.coalesce(F.to_json(F.get(p, F.lit(1))), F.lit("null")).alias("v"))),
+                     lambda e: e["k"].isNotNull())
+
+    def last_of_each(xs: Column) -> Column:
+        return F.filter(xs, lambda e, i: ~F.exists(F.slice(xs, i + 2, F.size(xs)), lambda f: f["k"] == e["k"]))
+
+    def shown(xs: Column) -> Column:
+        body = F.transform(xs, lambda e: F.concat(quote(e["k"]), F.lit(":"), e["v"]))
+        return F.when(F.size(xs) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
+
+    return bind(bind(named, last_of_each), shown)
 
 
 def params_text(params: Column | str) -> Column:
     """``k: v | k: v`` of a JSON object; other text unchanged (T4)."""
     c = col(params)
-    m = as_map(strict_variant(c))
 
     def shown(v: Column) -> Column:
-        kind = variant_kind(v)
-        return (F.when(v.isNull() | (kind == "null"), "None")
-                .when(kind == "boolean", F.initcap(F.to_json(v)))
-                .when(kind.isin("object", "array"), F.to_json(v))
-                .otherwise(as_text(v)))
-
-    parts = F.transform(F.array_sort(F.map_keys(m)),
-                        lambda k: F.concat(k, F.lit(": "), shown(F.element_at(m, k))))
-    return F.when(m.isNotNull(), F.array_join(parts, " | ")).otherwise(c)
+        def by(kind: Column) -> Column:
+            return (F.when(v.isNull() | (kind == "null"), "None")
+                    .when(kind == "boolean", F.initcap(F.to_json(v)))
+                    .when(kind.isin("object", "array"), F.to_json(v))
+                    .otherwise(as_text(v)))
+
+        return bind(variant_kind(v), by)
+
+    def joined(m: Column) -> Column:
+        parts = F.transform(F.array_sort(F.map_keys(m)),
+                            lambda k: F.concat(k, F.lit(": "), bind(F.element_at(m, k), shown)))
+        return F.when(m.isNotNull(), F.array_join(parts, " | ")).otherwise(c)
+
+    return bind(as_map(strict_variant(c)), joined)

@@ -64,33 +64,36 @@ def split_penalty(acts: DataFrame, segment: list[str], team: str) -> DataFrame:
     return islands(kinds, segment).groupBy(*segment, "island").agg(F.countDistinct(team).alias("teams")).where("teams > 1").withColumn("penalty", F.col("teams") - 1)
 
 
-def backwards(acts: DataFrame, keys: list[str]) -> DataFrame:
-    """V8: activities that start before the end of the one before; a hotel doesn't move the clock on."""
-    end = F.when(F.col("typ") != "hotel", F.col("en"))
-    return running(acts, keys, ["hr", "st", "ix"], [Running("_last", "last", end)], F.col("hr")).where("st < _last").drop("_last")
+def backwards(acts: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
+    """V8: activities that start before the end of one before them in the list (order), not on the clock.
+
+    A hotel doesn't move the clock on, and neither does an end before its start. chunk: see running.
+    """
+    end = F.when((F.col("typ") != "hotel") & (F.col("en") >= F.col("st")), F.col("en"))
+    return running(acts, keys, order, [Running("_last", "last", end)], chunk).where("st < _last").drop("_last")
 
 
-def misplaced(acts: DataFrame, keys: list[str]) -> DataFrame:
-    """V7: activities at another place than the last one known; a rest has no place."""
+def misplaced(acts: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
+    """V7 without transfers and hubs (plans.transfers has them): activities at another place than the last one
+    known, in list order; a rest has no place."""
     place = F.when(F.col("typ") != "rest", F.col("loc"))
-    return running(acts, keys, ["hr", "st", "ix"], [Running("came_from", "last", place)], F.col("hr")).where((F.col("typ") != "rest") & (F.col("came_from") != F.col("loc")))
+    return running(acts, keys, order, [Running("came_from", "last", place)], chunk).where((F.col("typ") != "rest") & (F.col("came_from") != F.col("loc")))
 
 
-def place_changes(acts: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """V1: activities whose place differs from that of the one before, with it."""
-    return running(acts, keys, ["hr", "st", "ix"], [Running("before", "prev", F.col(place))], F.col("hr")).where(F.col("before") != F.col(place))
+def place_changes(acts: DataFrame, keys: list[str], place: str, order: list[str], chunk: Column) -> DataFrame:
+    """V1 without legs (plans.city_changes has them): activities whose place differs from that of the one before in the list."""
+    return running(acts, keys, order, [Running("before", "prev", F.col(place))], chunk).where(F.col("before") != F.col(place))
 
 
-def day_ends(acts: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """First and last place of each group."""
-    at = F.struct("hr", "st", "ix")
+def day_ends(acts: DataFrame, keys: list[str], place: str, order: list[str]) -> DataFrame:
+    """First and last place of each group, by list order."""
+    at = F.struct(*order)
     return acts.groupBy(*keys).agg(F.min_by(place, at).alias("first_place"), F.max_by(place, at).alias("last_place"))
 
 
-def nights_without_hotel(acts: DataFrame, person: str, day: str) -> DataFrame:
-    """V3: days but a person's last that have no hotel, or whose last activity isn't one."""
-    at = F.struct("hr", "st", "ix")
-    days = acts.groupBy(person, day).agg(F.bool_or(F.col("typ") == "hotel").alias("any"), F.max_by("typ", at).alias("last"))
+def nights_without_hotel(acts: DataFrame, person: str, day: str, order: list[str]) -> DataFrame:
+    """V3: days but a person's last that have no hotel, or whose last activity in the list isn't one."""
+    days = acts.groupBy(person, day).agg(F.bool_or(F.col("typ") == "hotel").alias("any"), F.max_by("typ", F.struct(*order)).alias("last"))
     end = days.groupBy(F.col(person).alias("_p")).agg(F.max(day).alias("_end"))
     issue = F.when(~F.col("any"), "no_hotel").when(F.col("last") != "hotel", "hotel_not_last")
     return days.join(end, F.col(person) == F.col("_p")).where(F.col(day) < F.col("_end")).select(person, day, issue.alias("issue")).where("issue is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.functions import fixed, times
+from tripfold.functions import fixed, text, times
 
 
 def grams(text: str) -> Column:
@@ -101,3 +101,38 @@ def known_names(names: DataFrame, admin: DataFrame, suffixes: tuple = ("", *fixe
     """The asked names that are a name, as they are or with a suffix."""
     tried = names.select("asked", F.explode(F.array(*[F.concat("asked", F.lit(s)) for s in suffixes])).alias("name"))
     return tried.join(admin.select("name").distinct(), "name", "left_semi").select("asked").distinct()
+
+
+def conflicting_names(admin: DataFrame) -> DataFrame:
+    """Full names that stand for more than one code, with how many; such a table is to be refused."""
+    return admin.groupBy("full_name").agg(F.countDistinct("code").alias("codes")).where("codes > 1")
+
+
+def terminal_names(names: DataFrame, admin: DataFrame, suffixes: tuple = fixed.TERMINAL_SUFFIXES) -> DataFrame:
+    """Asked names with valid, reason, n (full names that end in it) and first (the shortest of them, then by
+    code points).
+
+    A name is refused if it is blank, if it holds two of the suffixes or more, or if text follows one. Else it
+    counts if a full name ends in it; if none does, those that end in it and a suffix count. reason: blank,
+    levels, compound, unknown or ok.
+
+    names(asked); admin(code, full_name). Every suffix of a full name is one row, so the join is on equality.
+    """
+    asked = names.select("asked").distinct().withColumn("_name", text.strip("asked"))
+    held = F.filter(F.array(*map(F.lit, suffixes)), lambda s: F.contains("_name", s))
+    follows = F.exists(held, lambda s: F.instr(F.col("_name"), s) + F.length(s) <= F.length("_name"))  # from its first place
+    shape = F.when(F.col("_name") == "", "blank").when(F.size(held) > 1, "levels").when(follows, "compound")
+    shaped = asked.withColumn("_shape", shape)
+    ends = admin.select("full_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("full_name")), lambda i: F.substr("full_name", i))).alias("_end")).distinct()
+    good = shaped.where("_shape is null")
+    tried = good.select("asked", F.posexplode(F.array(F.col("_name"), *[F.concat("_name", F.lit(s)) for s in suffixes])).alias("_try", "_end"))
+    hit = tried.join(ends, "_end").withColumn("_plain", F.col("_try") == 0)
+    any_plain = hit.groupBy("asked").agg(F.bool_or("_plain").alias("_p"), *[f.alias(n) for n, f in _matches(F.col("_plain"), "a")], *[f.alias(n) for n, f in _matches(~F.col("_plain"), "b")])
+    found = any_plain.select("asked", F.when(F.col("_p"), F.col("_na")).otherwise(F.col("_nb")).alias("_n"), F.when(F.col("_p"), F.col("_fa")).otherwise(F.col("_fb")).alias("_first"))
+    out = shaped.join(found, "asked", "left")
+    reason = F.coalesce("_shape", F.when(F.col("_n") > 0, "ok").otherwise("unknown"))
+    return out.select("asked", (reason == "ok").alias("valid"), reason.alias("reason"), F.coalesce("_n", F.lit(0)).alias("n"), F.col("_first").alias("first"))
+
+
+def _matches(which: Column, name: str) -> list[tuple[str, Column]]:
+    return [(f"_n{name}", F.count(F.when(which, 1))), (f"_f{name}", F.min_by("full_name", F.when(which, F.struct(F.length("full_name"), "full_name"))))]

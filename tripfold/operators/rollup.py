@@ -20,9 +20,11 @@ def trial_means(trials: DataFrame, task: str, score: str, failed: str) -> DataFr
     return trials.groupBy(task).agg(mean(valid).alias("avg_score"), F.count(valid).alias("valid"), F.coalesce(F.bool_or(failed), F.lit(False)).alias("any_failed"))
 
 
-def with_difficulty(df: DataFrame, tasks: DataFrame, task: str, difficulty: str) -> DataFrame:
-    """Df with each task's difficulty; unknown where the task or its difficulty is missing."""
-    known = tasks.groupBy(F.col(task).alias("_task")).agg(F.max(difficulty).alias("_difficulty"))
+def with_difficulty(df: DataFrame, tasks: DataFrame, task: str, difficulty: str, line: str | None = None) -> DataFrame:
+    """Df with each task's difficulty; unknown where the task or its difficulty is missing. Of a task that is
+    listed again the last line holds (line: its column; without one, repeated tasks must say the same)."""
+    last = F.max(difficulty) if line is None else F.max_by(difficulty, line)
+    known = tasks.groupBy(F.col(task).alias("_task")).agg(last.alias("_difficulty"))
     return df.join(known, F.col(task) == F.col("_task"), "left").withColumn("difficulty", F.coalesce("_difficulty", F.lit("unknown"))).drop("_task", "_difficulty")
 
 
@@ -51,9 +53,21 @@ def with_settings(tasks: DataFrame, difficulty: str) -> DataFrame:
     return tasks.withColumn("max_turn", pick(0)).withColumn("interval", pick(1))
 
 
-def purge_retryable(results: DataFrame, reason: str) -> DataFrame:
-    """Results but those that failed for a reason that may pass."""
-    return results.where(~F.coalesce(F.col(reason).isin(*fixed.RETRYABLE_REASONS), F.lit(False)))
+def may_pass() -> Column:
+    """Whether a run failed for a reason that may pass, so that it is worth another try."""
+    failed = ~F.coalesce(F.col("success"), F.lit(False))
+    return failed & F.coalesce(F.col("reason").isin(*fixed.RETRYABLE_REASONS), F.lit(False))
+
+
+def purge_retryable(results: DataFrame, keys: list[str]) -> DataFrame:
+    """results(keys, success, reason) but those of keys with a run that failed for a reason that may pass: the
+    trial is run again, so none of its rows may stay. A run that succeeded isn't one, whatever its reason."""
+    return pending(results, results.where(may_pass()), keys)
+
+
+def resumed(wanted: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of wanted that are still to be run: those without a result that succeeded or failed for good."""
+    return pending(wanted, results.where(~may_pass()), keys)
 
 
 def gate(runs: DataFrame) -> DataFrame:
@@ -64,8 +78,12 @@ def gate(runs: DataFrame) -> DataFrame:
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of wanted whose keys aren't among done."""
-    return wanted.join(done.select(keys).distinct(), keys, "left_anti")
+    """The rows of wanted whose keys aren't among done; null keys are keys."""
+    have = done.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}"))
+    for k in keys[1:]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return wanted.join(have, same, "left_anti")
 
 
 def shares(df: DataFrame, value: str) -> DataFrame:
@@ -102,3 +120,17 @@ def report_table(summary: DataFrame, group: str, metrics: list[str], columns: li
     """A row for each metric, a column for each group."""
     long = summary.select(group, F.expr(f"stack({len(metrics)}, " + ", ".join(f"'{m}', cast({m} as double)" for m in metrics) + ") as (metric, value)"))
     return long.groupBy("metric").pivot(group, columns).agg(F.max("value"))
+
+
+def families(scores: DataFrame, trial: str) -> DataFrame:
+    """Mean of each dimension and overall, in four families of scores, 0 where nothing was scored.
+
+    scores(trial, dim, raw, norm, penalised, final). Overall is the mean of the trials' means, but in the
+    final family the mean of the dimensions' means.
+    """
+    names = ["raw", "norm", "penalised", "final"]
+    long = scores.select(trial, "dim", F.explode(F.array(*[F.struct(F.lit(n).alias("family"), F.col(n).cast("double").alias("x")) for n in names])).alias("_s")).select(trial, "dim", "_s.*")
+    by_dim = long.groupBy("family", "dim").agg(F.coalesce(mean(F.col("x")), F.lit(0.0)).alias("mean"))
+    by_trial = long.where("family <> 'final'").groupBy("family", trial).agg(mean(F.col("x")).alias("_m")).groupBy("family").agg(F.coalesce(mean(F.col("_m")), F.lit(0.0)).alias("mean"))
+    final = by_dim.where("family = 'final'").groupBy("family").agg(mean(F.col("mean")).alias("mean"))
+    return by_dim.unionByName(by_trial.unionByName(final).withColumn("dim", F.lit("overall")).select("family", "dim", "mean"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripfold.functions import fixed, ratings
+from tripfold.functions.columns import bind
 
 
 def flattened(plans: DataFrame, days: str) -> DataFrame:
@@ -76,20 +77,45 @@ def prf(matches: DataFrame, by: str) -> DataFrame:
     return g.select(by, "recall", "precision", f1.alias("f1"))
 
 
+_INNER = ("response", "reasoning", "rating", "meta_evaluation")
+
+
+def repaired(text: Column, dims: tuple) -> Column:
+    """A judge's response without code fence and comments, without spaces within tags, and with near names of
+    dimensions made right: a tag that is none of the known ones but part of a dimension's name, or the other way
+    round, is the first such dimension's."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"(?s)^\s*```\w*\s*|\s*```\s*\z", "")
+    bare = F.regexp_replace(bare, r"<\s*(/?)\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*>", "<$1$2>")
+
+    def renamed(given: Column) -> Column:
+        names = F.array_distinct(F.regexp_extract_all(given, F.lit(r"</?([a-zA-Z_][a-zA-Z0-9_]*)>"), 1))
+        odd = F.filter(names, lambda t: ~t.isin(*dims, *_INNER))
+        near = F.transform(odd, lambda t: F.named_struct(F.lit("t"), t, F.lit("d"), F.get(F.filter(F.array(*map(F.lit, dims)), lambda d: F.contains(d, t) | F.contains(t, d)), F.lit(0))))
+        swap = lambda acc, x: F.replace(F.replace(acc, F.concat(F.lit("<"), x["t"], F.lit(">")), F.concat(F.lit("<"), x["d"], F.lit(">"))), F.concat(F.lit("</"), x["t"], F.lit(">")), F.concat(F.lit("</"), x["d"], F.lit(">")))
+        return F.aggregate(F.filter(near, lambda x: x["d"].isNotNull()), given, swap)
+
+    return bind(bare, renamed)
+
+
 def judge_fields(df: DataFrame, key: str, response: str, dims: tuple) -> DataFrame:
-    """Key, dim, reasoning and rating from a judge's tagged response.
+    """Key, dim, reasoning and rating from a judge's tagged response (see repaired).
 
-    Comments go, the code fence goes, spaces within tags go; each dimension is read by itself, so a
-    missing wrapper or a bare angle bracket elsewhere does no harm. A dimension that isn't there has nulls.
+    Each dimension is read by itself, so a missing wrapper or a bare angle bracket elsewhere does no harm. One
+    that isn't closed ends where the next begins; a reasoning that isn't closed ends at the rating, a rating
+    with its dimension. Entities are read as their characters. A dimension or part that isn't there is null.
     """
-    text = F.regexp_replace(F.regexp_replace(response, r"(?s)<!--.*?-->", ""), r"(?s)^\s*```\w*\s*|\s*```\s*\z", "")
-    text = F.regexp_replace(text, r"<\s*(/?)\s*([A-Za-z_]+)\s*>", "<$1$2>")
-    rows = df.select(key, text.alias("_text"), F.explode(F.array(*map(F.lit, dims))).alias("dim"))
-    inner = lambda tag, s: F.regexp_extract(s, f"(?s)<{tag}>(.*?)</{tag}>", 1)
-    part = F.expr("regexp_extract(_text, concat('(?s)<', dim, '>(.*?)</', dim, '>'), 1)")
-    out = rows.withColumn("_part", part)
-    null_if_empty = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return out.select(key, "dim", null_if_empty(inner("reasoning", F.col("_part"))).alias("reasoning"), null_if_empty(inner("rating", F.col("_part"))).alias("rating"))
+    rows = df.select(key, repaired(F.col(response), dims).alias("_text"), F.explode(F.array(*map(F.lit, dims))).alias("dim"))
+    opens = F.concat(F.lit("<"), "dim", F.lit(">"))
+    rest = rows.withColumn("_rest", F.when(F.contains("_text", opens), F.substr("_text", F.instr(F.col("_text"), opens) + F.length(opens))))
+    ends = F.concat(F.lit("</"), "dim", F.lit(">"))
+    others = F.expr("array_join(filter(array(" + ", ".join(f"'{d}'" for d in dims) + "), x -> x <> dim), '|')")
+    until = F.concat(F.lit("(?s)\\A(.*?)(?:<(?:"), others, F.lit(")>|</response>|\\z)"))
+    part = F.when(F.contains("_rest", ends), F.expr("substring_index(_rest, concat('</', dim, '>'), 1)")).otherwise(F.expr("regexp_extract(_rest, _until, 1)"))
+    out = rest.withColumn("_until", until).withColumn("_part", part)
+    inner = lambda tag, stop: F.when(F.contains("_part", F.lit(f"<{tag}>")), F.regexp_extract("_part", f"(?s)<{tag}>(.*?)(?:</{tag}>|{stop}\\z)", 1))
+    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    told = lambda c: F.nullif(F.trim(plain(c)), F.lit(""))
+    return out.select(key, "dim", told(inner("reasoning", "<rating>|")).alias("reasoning"), told(inner("rating", "")).alias("rating"))
 
 
 def dimension_stats(scores: DataFrame, dim: str, score: str) -> DataFrame:

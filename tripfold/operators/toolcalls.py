@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,8 +87,7 @@ def sample_examples(examples: DataFrame, k: int, seed: str) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("tool").orderBy("_h"))).where(F.col("rank") <= k).select("tool", "example", "rank")
 
 
-# --- T13: what a call's arguments must satisfy, in this order, after the general rules.
-# rule, argument, values. Ranges are of numbers; "city" is a known place name.
+# --- T13: what a call's arguments must satisfy, as rows of a table
 _ROUTE = [("filled", "origin"), ("place", "origin"), ("filled", "destination"), ("place", "destination")]
 _TRAVEL = [("filled", "origin"), ("city", "origin"), ("filled", "destination"), ("city", "destination"), ("date", "date"), ("clock", "depart_time_start"), ("clock", "depart_time_end"), ("ordered", "depart_time_start", "depart_time_end")]
 VALUE_RULES = {
@@ -110,66 +109,73 @@ VALUE_RULES = {
         ("range", "route_index", 1, None), ("range", "poi_limit", 1, fixed.MAX_ROUTE_POIS), ("city", "city"),
     ],
 }
-
-
-def _broken(rule: tuple) -> Column:
-    """Whether an argument that is there and not null breaks the rule."""
-    kind, name, *more = rule
-    text, number = F.try_element_at("_text", F.lit(name)), F.try_element_at("_number", F.lit(name))
-    checks = {
-        "filled": lambda: F.trim(text) == "",
-        "city": lambda: ~F.coalesce(F.array_contains("_cities", name), F.lit(False)),
-        "date": lambda: times.date_error(text),
-        "clock": lambda: times.clock_error(text),
-        "place": lambda: F.trim(text).rlike(r"^\d{3}") & times.coordinate_error(F.trim(text)),
-        "one_of": lambda: ~text.isin(*more[0]),
-        "range": lambda: (number < more[0]) | (F.lit(False) if more[1] is None else number > more[1]),
-        "above": lambda: number <= more[0],
-        "ordered": lambda: F.coalesce(number > F.try_element_at("_number", F.lit(more[0])), text > F.try_element_at("_text", F.lit(more[0])), F.lit(False)),
-        "needs": lambda: (text == more[0]) & F.coalesce(F.trim(F.try_element_at("_text", F.lit(more[1]))) == "", F.lit(True)),
-    }
-    return text.isNotNull() & checks[kind]()
-
-
-def _misfits(names: list, kinds: tuple) -> Column:
-    """The arguments among names whose kind is none of kinds."""
-    return F.map_filter("_kind", lambda k, v: k.isin(*names) & ~v.isin(*kinds))
-
-
-def _wrong_type(params: dict) -> Column:
-    found = F.lit(False)
-    for kind, fits in (("string", ("string",)), ("integer", ("integer", "boolean")), ("number", ("integer", "number", "boolean"))):
-        for nullable in (False, True):
-            names = [n for n, p in params.items() if p == (kind, nullable)]
-            if names:
-                found = found | (F.cardinality(_misfits(names, (*fits, "null") if nullable else fits)) > 0)
-    return found
-
-
-def validate_calls(calls: DataFrame, key: str, cities: DataFrame) -> DataFrame:
+RULE = "tool string, ord int, rule string, name string, texts array<string>, low double, high double, code string"
+_FITS = {"string": ["string"], "integer": ["integer", "boolean"], "number": ["integer", "number", "boolean"]}
+
+
+def rules_table(spark: SparkSession) -> DataFrame:
+    """The rules of the ten tools (see RULE): a row for each, in the order in which they are tried."""
+    rows = []
+    for tool, params in fixed.TOOL_PARAMS.items():
+        own = [("known", None, list(params), None, None, "unknown_argument"), ("required", None, list(fixed.TOOL_REQUIRED[tool]), None, None, "missing_argument")]
+        own += [("kind", name, [*_FITS[kind], *["null"] * null], None, None, "wrong_type") for name, (kind, null) in params.items()]
+        for rule, name, *more in VALUE_RULES[tool]:
+            texts, low, high = None, None, None
+            if rule in ("range", "above"):
+                low, high = (None if x is None else float(x) for x in (more + [None])[:2])
+            elif more:
+                texts = list(more[0]) if rule == "one_of" else list(more)
+            own.append((rule, name, texts, low, high, f"{rule}:{name}"))
+        rows += [(tool, k, *r) for k, r in enumerate(own)]
+    return spark.createDataFrame(rows, RULE)
+
+
+def _broken(r: Column) -> Column:
+    """Whether the call breaks rule r, on the call's maps by argument: _kind, _text and _number. What is said of a
+    value holds for one that is there and not null."""
+    name, texts = r["name"], r["texts"]
+    text, number = F.try_element_at("_text", name), F.try_element_at("_number", name)
+    other = F.get(texts, F.lit(0))
+    of_value = (
+        F.when(r["rule"] == "filled", F.trim(text) == "")
+        .when(r["rule"] == "city", ~F.coalesce(F.array_contains("_cities", name), F.lit(False)))
+        .when(r["rule"] == "date", times.date_error(text))
+        .when(r["rule"] == "clock", times.clock_error(text))
+        .when(r["rule"] == "place", F.trim(text).rlike(r"^\d{3}") & times.coordinate_error(F.trim(text)))
+        .when(r["rule"] == "one_of", ~F.array_contains(texts, text))
+        .when(r["rule"] == "range", (number < r["low"]) | F.coalesce(number > r["high"], F.lit(False)))
+        .when(r["rule"] == "above", number <= r["low"])
+        .when(r["rule"] == "ordered", F.coalesce(number > F.try_element_at("_number", other), text > F.try_element_at("_text", other), F.lit(False)))
+        .when(r["rule"] == "needs", (text == other) & F.coalesce(F.trim(F.try_element_at("_text", F.get(texts, F.lit(1)))) == "", F.lit(True)))
+    )
+    keys = F.map_keys("_kind")
+    return F.coalesce(
+        F.when(r["rule"] == "known", F.size(F.array_except(keys, texts)) > 0).when(r["rule"] == "required", F.size(F.array_except(texts, keys)) > 0)
+        .when(r["rule"] == "kind", ~F.array_contains(texts, F.try_element_at("_kind", name))).when(text.isNotNull(), of_value),
+        F.lit(False),
+    )
+
+
+def validate_calls(calls: DataFrame, key: str, cities: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Key, ok and the code of the first rule that the call's arguments break.
 
-    cities(name): known place names; an argument names a city if it is one as it is or with a suffix.
+    cities(name): known place names; an argument names a city if it is one as it is or with a suffix. rules
+    (see RULE): those of the ten tools unless others are given. A tool has few rules, so each call gets its
+    tool's as a list, from a broadcast; they are tried where the call is, without a shuffle. New rules of
+    these kinds are new rows.
     """
-    named = sorted({r[1] for rules in VALUE_RULES.values() for r in rules if r[0] == "city"})
+    rules = rules_table(calls.sparkSession) if rules is None else rules
+    listed = rules.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("ord", "rule", "name", "texts", "low", "high", "code"))).alias("_rules"))
     v = calls.select(key, "tool", jsonx.strict_variant("arguments").alias("_v"))
     m = v.select(key, "tool", F.col("_v").isNull().alias("_bad"), jsonx.as_map(F.col("_v")).alias("_m"))
     kind = F.transform_values("_m", lambda k, x: F.coalesce(jsonx.variant_kind(x), F.lit("null")))
     number = F.transform_values("_m", lambda k, x: F.try_variant_get(x, "$", "double"))
     rows = m.select(key, "tool", "_bad", kind.alias("_kind"), F.transform_values("_m", lambda k, x: jsonx.as_text(x)).alias("_text"), number.alias("_number"))
-    asked = rows.select(key, F.explode(F.map_entries(F.map_filter("_text", lambda k, x: k.isin(*named) & x.isNotNull()))).alias("_a"))
-    tried = asked.select(key, F.col("_a.key").alias("_n"), F.explode(F.array(F.col("_a.value"), *[F.concat(F.col("_a.value"), F.lit(s)) for s in fixed.CITY_TRY_SUFFIXES])).alias("name"))
+    rows = rows.join(F.broadcast(listed), "tool", "left")  # a few rows a tool
+    named = F.transform(F.filter("_rules", lambda r: r["rule"] == "city"), lambda r: r["name"])
+    asked = rows.select(key, F.explode(F.filter(F.transform(named, lambda n: F.struct(n.alias("n"), F.try_element_at("_text", n).alias("v"))), lambda a: a["v"].isNotNull())).alias("_a"))
+    tried = asked.select(key, F.col("_a.n").alias("_n"), F.explode(F.array(F.col("_a.v"), *[F.concat(F.col("_a.v"), F.lit(s)) for s in fixed.CITY_TRY_SUFFIXES])).alias("name"))
     good = tried.join(cities.select("name").distinct(), "name", "left_semi").groupBy(key).agg(F.collect_set("_n").alias("_cities"))  # a few names a call
-    full = rows.join(good, key, "left")
-    code = F.when(F.col("_bad"), "bad_json").when(F.col("_kind").isNull(), "not_an_object").when(~F.col("tool").isin(*fixed.TOOL_NAMES), "unknown_tool")
-    for tool in fixed.TOOL_NAMES:
-        params, mine, keys = fixed.TOOL_PARAMS[tool], F.col("tool") == tool, F.map_keys("_kind")
-        own = (
-            F.when(F.size(F.array_except(keys, F.array(*map(F.lit, params)))) > 0, "unknown_argument")
-            .when(F.size(F.array_except(F.array(*map(F.lit, fixed.TOOL_REQUIRED[tool])), keys)) > 0, "missing_argument")
-            .when(_wrong_type(params), "wrong_type")
-        )
-        for rule in VALUE_RULES[tool]:
-            own = own.when(_broken(rule), f"{rule[0]}:{rule[1]}")
-        code = code.when(mine, own)
-    return full.withColumn("code", code).select(key, F.col("code").isNull().alias("ok"), "code")
+    first = F.get(F.filter("_rules", _broken), F.lit(0))["code"]
+    code = F.when(F.col("_bad"), "bad_json").when(F.col("_kind").isNull(), "not_an_object").when(F.col("_rules").isNull(), "unknown_tool").otherwise(first)
+    return rows.join(good, key, "left").withColumn("code", code).select(key, F.col("code").isNull().alias("ok"), "code")

@@ -13,22 +13,23 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def activities(spark, sf_dir: str) -> DataFrame:
-    """Events as activities: user, day, ix, hour, typ, place, start and end minute, cost.
+    """Events as activities: user, day, ix, hour, typ, place, start and end minute, cost, and ls.
 
-    An end at or before the start is overnight.
+    An end at or before the start is overnight. A day's list is in order of ls, then ix, which isn't that of
+    the clock.
     """
     start = F.hour("ts") * 60 + F.minute("ts")
     kind = F.create_map(*[F.lit(x) for x in ("view", "attraction", "click", "food", "purchase", "hotel", "signup", "intracity_transport")])
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("usr"), F.to_date("ts").alias("d"), F.col("event_id").alias("ix"), F.hour("ts").alias("hr"),
-        F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("rest")).alias("typ"), start.alias("st"),
+        (F.col("event_id") % 13).cast("int").alias("ls"), F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("rest")).alias("typ"), start.alias("st"),
         ((start + F.floor("value").cast("int")) % 1440).alias("en"),
         F.concat(F.lit("L"), (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 20).cast("string")).alias("loc"), F.col("value").alias("cost"),
     )
 
 
 ACTIVITIES = """
-evt AS (SELECT user_id AS usr, CAST(ts AS DATE) AS d, event_id AS ix, hour(ts) AS hr,
+evt AS (SELECT user_id AS usr, CAST(ts AS DATE) AS d, event_id AS ix, hour(ts) AS hr, event_id % 13 AS ls,
   CASE event_type WHEN 'view' THEN 'attraction' WHEN 'click' THEN 'food' WHEN 'purchase' THEN 'hotel'
     WHEN 'signup' THEN 'intracity_transport' ELSE 'rest' END AS typ,
   CAST(hour(ts) * 60 + minute(ts) AS INT) AS st, CAST((hour(ts) * 60 + minute(ts) + CAST(floor(value) AS INT)) % 1440 AS INT) AS en,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tripfold.functions import fixed, text
 from tripfold.operators import conversation as C
 from tripfold.operators import scoring as S
-from tripfold.plans.adapters import HISTORY, history
+from tripfold.operators import turns as T
+from tripfold.plans.adapters import HISTORY, history, table
 
 QUERIES, SQL = {}, {}
 
@@ -193,3 +194,71 @@ def q_prefs(spark, sf_dir):
         .when(m == 1, '{"U1":{"global_constraints":{}},"U2":{"more":1}}').when(m == 2, '{"U1":{"global_constraints":{}},"U2":3}').otherwise("{}")
     )
     return _his(spark, sf_dir).select("trial", "seq", S.is_preference_table(F.try_parse_json(said)).alias("ok"))
+
+
+# --- histories with tool calls: up to two calls or results behind a message; the second result has no call of its own
+_SPEAKER = "CASE role WHEN 'assistant' THEN 'Agent' WHEN 'user' THEN 'User1' ELSE 'User2' END"
+_TOOLS = "CASE WHEN role = 'assistant' THEN turn % 3 WHEN turn % 5 = 0 THEN 1 ELSE 0 END"
+_TOOLED = f"""msg AS (SELECT conv_id AS trial, turn * 8 AS seq, {_SPEAKER} AS speaker, CASE WHEN turn % 7 = 3 THEN '' ELSE text END AS content, {_TOOLS} AS k, CASE WHEN role = 'assistant' THEN (conv_id + turn) % 4 <> 0 END AS has FROM conversations),
+tool AS (SELECT trial, seq AS own, speaker, has, seq + 1 AS seq, 'tool_call' AS kind, 0 AS j FROM msg WHERE k > 0 UNION ALL SELECT trial, seq, speaker, has, seq + 2 + 2 * j, 'tool_result', j FROM msg, range(2) r(j) WHERE j < k)"""
+
+
+def _tooled(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").selectExpr("conv_id AS trial", "turn * 8 AS seq", f"{_SPEAKER} AS speaker", "CASE WHEN turn % 7 = 3 THEN '' ELSE text END AS content", f"int({_TOOLS}) AS k", "CASE WHEN role = 'assistant' THEN (conv_id + turn) % 4 <> 0 END AS has_tool_calls")
+    nothing = ["CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS arguments", "CAST(NULL AS STRING) AS result", "CAST(NULL AS BOOLEAN) AS error"]
+    messages = c.selectExpr("trial", "seq", "'message' AS kind", "speaker", "content", *nothing, "has_tool_calls")
+    each = c.where("k > 0").selectExpr("trial", "seq", "explode(flatten(transform(sequence(0, k - 1), j -> filter(array(struct('tool_call' AS kind, j, 1 AS step), struct('tool_result' AS kind, j, 2 + 2 * j AS step)), x -> x.kind = 'tool_result' OR j = 0)))) AS t")
+    tools = each.selectExpr(
+        "trial", "seq + t.step AS seq", "t.kind", "CAST(NULL AS STRING) AS speaker", "CAST(NULL AS STRING) AS content", "concat('t', t.j) AS name", "CASE t.kind WHEN 'tool_call' THEN concat('{\"q\":', seq, '}') END AS arguments",
+        "CASE t.kind WHEN 'tool_result' THEN concat('r', seq) END AS result", "CASE t.kind WHEN 'tool_result' THEN (seq + t.j) % 2 = 1 END AS error", "CAST(NULL AS BOOLEAN) AS has_tool_calls",
+    )
+    return messages.unionByName(tools)
+
+
+@query(f"""WITH {_TOOLED}, l AS (SELECT trial, seq AS own, 0 AS part, seq, CASE WHEN speaker = 'Agent' AND (k > 0 OR content = '') THEN 'Agent:' ELSE concat(speaker, ': ', content) END AS line FROM msg
+  UNION ALL SELECT trial, seq, 2, seq, content FROM msg WHERE speaker = 'Agent' AND k > 0 AND content <> ''
+  UNION ALL SELECT trial, own, 1, seq, CASE WHEN kind = 'tool_call' THEN concat('tool_call: t0({{"q":', CAST(own AS VARCHAR), '}})') ELSE concat('tool_result:', CASE WHEN (own + j) % 2 = 1 THEN ' [ERROR]' ELSE '' END, ' r', CAST(own AS VARCHAR)) END FROM tool WHERE speaker = 'Agent')
+SELECT trial, string_agg(line, chr(10) ORDER BY own, part, seq) AS text FROM l GROUP BY trial""")
+def q_tooltext(spark, sf_dir):
+    """C17: tools inlined behind the Agent's name, errors marked; tools behind a user's message are left out."""
+    return T.transcript_with_tools(_tooled(spark, sf_dir))
+
+
+_MERGED = """, m AS (SELECT *, {mine} AS mine FROM msg WHERE {seen}), b AS (SELECT *, lag(mine) OVER (PARTITION BY trial ORDER BY seq) AS before FROM m),
+n AS (SELECT *, sum(CASE WHEN mine OR coalesce(before, true) THEN 1 ELSE 0 END) OVER (PARTITION BY trial ORDER BY seq ROWS UNBOUNDED PRECEDING) AS turn FROM b),
+u AS (SELECT trial, seq, 0 AS part, 'assistant' AS kind, content FROM n WHERE mine UNION ALL SELECT trial, min(seq), 0, 'user', string_agg(concat(speaker, ': ', content), chr(10) ORDER BY seq) FROM n WHERE NOT mine GROUP BY trial, turn)"""
+
+
+@query(f"""WITH {_TOOLED}{_MERGED.format(mine="speaker = 'Agent'", seen="true")}, x AS (SELECT u.trial, u.seq, part, u.kind, u.content, NULL AS name, CASE WHEN u.kind = 'assistant' THEN CASE WHEN k > 0 AND has THEN 1 ELSE 0 END END AS calls, NULL AS call FROM u JOIN msg ON msg.trial = u.trial AND msg.seq = u.seq
+  UNION ALL SELECT trial, own, CAST(seq - own AS INT), 'tool', concat('r', CAST(own AS VARCHAR)), concat('t', CAST(j AS VARCHAR)), NULL, 1 FROM tool WHERE kind = 'tool_result' AND has),
+w AS (SELECT *, lag(kind) OVER (PARTITION BY trial ORDER BY seq, part) AS was FROM x)
+SELECT trial, seq, part, kind, content, name, calls, call FROM x UNION ALL SELECT trial, seq, -1, 'user', CASE WHEN was IS NULL THEN '{_FIRST}' ELSE '{_BETWEEN}' END, NULL, NULL, NULL FROM w WHERE kind = 'assistant' AND (was IS NULL OR was = 'assistant')""")
+def q_agentturns(spark, sf_dir):
+    """Results go with the latest call; two results of one call, messages whose tools don't count."""
+    return T.agent_turns(_tooled(spark, sf_dir)).withColumn("calls", F.col("calls").cast("int")).withColumn("call", F.col("call").cast("int"))
+
+
+@query(f"""WITH {_TOOLED}{_MERGED.format(mine="speaker = 'User1'", seen="NOT coalesce(has, false)")}, w AS (SELECT *, lag(kind) OVER (PARTITION BY trial ORDER BY seq, part) AS was FROM u)
+SELECT trial, seq, part, kind, content FROM u UNION ALL SELECT trial, seq, -1, 'user', CASE WHEN was IS NULL THEN '{_FIRST}' ELSE '{_BETWEEN}' END FROM w WHERE kind = 'assistant' AND (was IS NULL OR was = 'assistant')""")
+def q_userturns(spark, sf_dir):
+    """Neither tools nor the Agent's steps between them are seen."""
+    return T.user_turns(_tooled(spark, sf_dir), "User1")
+
+
+@query("SELECT conv_id, turn, concat('Judge turn ', CAST(turn AS VARCHAR), ' of {role}:' , chr(10), coalesce(text, ''), ' (', role, ')') AS prompt FROM conversations")
+def q_prompts(spark, sf_dir):
+    """A template with names that aren't columns' and texts that may hold names."""
+    rows = table(spark, sf_dir, "conversations").withColumn("who", F.col("role"))
+    return T.build_prompts(rows, "Judge turn {turn} of {role}:\n{text} ({who})", ["turn", "text", "who"]).select("conv_id", "turn", "prompt")
+
+
+@query("""SELECT o_orderkey AS task, o_orderkey % 5 > 1 AND o_orderkey % 7 > 1 AND o_orderkey % 3 > 0 AS valid,
+  CASE WHEN o_orderkey % 5 <= 1 THEN 'query' WHEN o_orderkey % 7 <= 1 THEN 'user_preferences' WHEN o_orderkey % 3 = 0 THEN 'initial_messages' END AS error FROM orders""")
+def q_taskcheck(spark, sf_dir):
+    """The three reasons, the first that holds."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("task"), F.when(k % 5 > 1, "go").alias("query"), F.try_parse_json(F.when(k % 7 == 0, "{}").when(k % 7 > 1, '{"U0":{}}')).alias("user_preferences"),
+        F.when(k % 3 == 1, F.array(F.lit("hi"))).when(k % 3 == 2, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("initial_messages"),
+    )
+    return T.validated(rows).select("task", "valid", "error")

@@ -51,42 +51,44 @@ def q_split(spark, sf_dir):
     return I.split_penalty(activities(spark, sf_dir), ["d"], "usr").withColumn("island", F.col("island").cast("long"))
 
 
-_BEFORE = "OVER (PARTITION BY usr, d ORDER BY hr, st, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+LIST = ["ls", "ix"]
+_BEFORE = "OVER (PARTITION BY usr, d ORDER BY ls, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-@query(f"WITH {ACTIVITIES} SELECT usr, d, ix, st FROM (SELECT *, last_value(CASE WHEN typ <> 'hotel' THEN en END IGNORE NULLS) {_BEFORE} AS l FROM evt) WHERE st < l")
+@query(f"WITH {ACTIVITIES} SELECT usr, d, ix, st FROM (SELECT *, last_value(CASE WHEN typ <> 'hotel' AND en >= st THEN en END IGNORE NULLS) {_BEFORE} AS l FROM evt) WHERE st < l")
 def q_timeline(spark, sf_dir):
-    return I.backwards(activities(spark, sf_dir), DAY).select("usr", "d", "ix", "st")
+    """V8: in the order of the lists, whose clocks aren't sorted."""
+    return I.backwards(activities(spark, sf_dir), DAY, LIST, F.col("ls")).select("usr", "d", "ix", "st")
 
 
 @query(f"WITH {ACTIVITIES} SELECT usr, d, ix, loc, l AS came_from FROM (SELECT *, last_value(CASE WHEN typ <> 'rest' THEN loc END IGNORE NULLS) {_BEFORE} AS l FROM evt) WHERE typ <> 'rest' AND l <> loc")
 def q_lastnn(spark, sf_dir):
-    return I.misplaced(activities(spark, sf_dir), DAY).select("usr", "d", "ix", "loc", "came_from")
+    return I.misplaced(activities(spark, sf_dir), DAY, LIST, F.col("ls")).select("usr", "d", "ix", "loc", "came_from")
 
 
-@query(f"WITH {ACTIVITIES} SELECT usr, ix, loc, b AS before FROM (SELECT *, lag(loc) OVER (PARTITION BY usr, d ORDER BY hr, st, ix) AS b FROM evt) WHERE b <> loc")
+@query(f"WITH {ACTIVITIES} SELECT usr, ix, loc, b AS before FROM (SELECT *, lag(loc) OVER (PARTITION BY usr, d ORDER BY ls, ix) AS b FROM evt) WHERE b <> loc")
 def q_lagcity(spark, sf_dir):
     """V1: the place changes within a day."""
-    return I.place_changes(activities(spark, sf_dir), DAY, "loc").select("usr", "ix", "loc", "before")
+    return I.place_changes(activities(spark, sf_dir), DAY, "loc", LIST, F.col("ls")).select("usr", "ix", "loc", "before")
 
 
-@query(f"""WITH {ACTIVITIES}, e AS (SELECT usr, d, arg_min(loc, (hr, st, ix)) AS first_place, arg_max(loc, (hr, st, ix)) AS last_place FROM evt GROUP BY usr, d)
+@query(f"""WITH {ACTIVITIES}, e AS (SELECT usr, d, arg_min(loc, (ls, ix)) AS first_place, arg_max(loc, (ls, ix)) AS last_place FROM evt GROUP BY usr, d)
 SELECT usr, d, first_place, last_place, lag(last_place) OVER (PARTITION BY usr ORDER BY d) AS night_before,
   coalesce(lag(last_place) OVER (PARTITION BY usr ORDER BY d) <> first_place, false) AS jumped FROM e""")
 def q_firstlast(spark, sf_dir):
     """Where days begin and end, and whether a day begins elsewhere than the one before ended."""
     from pyspark.sql.window import Window
 
-    ends = I.day_ends(activities(spark, sf_dir), DAY, "loc")
+    ends = I.day_ends(activities(spark, sf_dir), DAY, "loc", LIST)
     night = F.lag("last_place").over(Window.partitionBy("usr").orderBy("d"))  # a row a day
     return ends.withColumn("night_before", night).withColumn("jumped", F.coalesce(F.col("night_before") != F.col("first_place"), F.lit(False)))
 
 
-@query(f"""WITH {ACTIVITIES}, g AS (SELECT usr, d, bool_or(typ = 'hotel') AS any_hotel, arg_max(typ, (hr, st, ix)) AS l FROM evt GROUP BY usr, d)
+@query(f"""WITH {ACTIVITIES}, g AS (SELECT usr, d, bool_or(typ = 'hotel') AS any_hotel, arg_max(typ, (ls, ix)) AS l FROM evt GROUP BY usr, d)
 SELECT * FROM (SELECT usr, d, CASE WHEN NOT any_hotel THEN 'no_hotel' WHEN l <> 'hotel' THEN 'hotel_not_last' END AS issue FROM g
   WHERE d < (SELECT max(d) FROM g h WHERE h.usr = g.usr)) WHERE issue IS NOT NULL""")
 def q_hotel(spark, sf_dir):
-    return I.nights_without_hotel(activities(spark, sf_dir), "usr", "d")
+    return I.nights_without_hotel(activities(spark, sf_dir), "usr", "d", LIST)
 
 
 @query(f"""WITH {ACTIVITIES}, g AS (SELECT usr, d, CAST(sum(CASE WHEN typ = 'attraction' THEN 1 ELSE 0 END) AS BIGINT) AS places,

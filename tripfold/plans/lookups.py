@@ -135,12 +135,49 @@ def q_suffix(spark, sf_dir):
     return L.resolve_names(names.select(asked.alias("asked")), _admin(spark, sf_dir))
 
 
-@query("SELECT DISTINCT left(n_name, length(n_name) - 1) AS asked FROM nation WHERE right(n_name, 1) IN ('1', '2')")
+@query("""WITH a AS (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN n_name WHEN 1 THEN left(n_name, length(n_name) - 1) ELSE concat(c_name, '?') END AS asked FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT asked FROM a WHERE EXISTS (SELECT 1 FROM nation WHERE n_name IN (asked, concat(asked, '1'), concat(asked, '2')))""")
 def q_known(spark, sf_dir):
-    """Names that lack one of the suffixes that are tried."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    asked = n.select(F.expr("left(name, length(name) - 1)").alias("asked"))
-    return L.known_names(asked, n, ("", "1", "2"))
+    """customers' names of nations, some of which lack one of the suffixes that are tried."""
+    m = F.col("c_custkey") % 3
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    asked = F.when(m == 0, F.col("name")).when(m == 1, F.expr("left(name, length(name) - 1)")).otherwise(F.concat("c_name", F.lit("?")))
+    names = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(asked.alias("asked"))
+    return L.known_names(names, n, ("", "1", "2"))
+
+
+_TERMINAL = """whole AS (SELECT concat(r_name, '省') AS full_name FROM region UNION SELECT concat(r_name, '省', n_name, '市') FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION SELECT concat(r_name, '省', n_name, '市', 'D', CAST(s_suppkey % 7 AS VARCHAR), '区') FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+asked AS (SELECT DISTINCT CASE c_custkey % 8 WHEN 0 THEN concat(n_name, '市') WHEN 1 THEN n_name WHEN 2 THEN concat(' D', CAST(c_custkey % 9 AS VARCHAR), '区') WHEN 3 THEN concat(n_name, '市D1区') WHEN 4 THEN concat(n_name, '市x') WHEN 5 THEN '  '
+  WHEN 6 THEN c_name ELSE concat('D', CAST(c_custkey % 9 AS VARCHAR)) END AS asked FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(f"""WITH {_TERMINAL}, t AS (SELECT asked, trim(asked) AS name FROM asked), s(x) AS (VALUES ('省'), ('市'), ('区'), ('县'), ('旗'), ('盟'), ('州'), ('地区'), ('林区'), ('特区')),
+k AS (SELECT asked, name, CASE WHEN name = '' THEN 'blank' WHEN (SELECT count(*) FROM s WHERE contains(name, x)) > 1 THEN 'levels' WHEN EXISTS (SELECT 1 FROM s WHERE contains(name, x) AND NOT ends_with(name, x)) THEN 'compound' END AS shape FROM t),
+p AS (SELECT asked, count(*) AS n, arg_min(full_name, (length(full_name), full_name)) AS f FROM k JOIN whole ON ends_with(full_name, name) WHERE shape IS NULL GROUP BY asked),
+q AS (SELECT asked, count(*) AS n, arg_min(full_name, (length(full_name), full_name)) AS f FROM k, s JOIN whole ON ends_with(full_name, concat(name, x)) WHERE shape IS NULL GROUP BY asked)
+SELECT k.asked, shape IS NULL AND coalesce(p.n, q.n) IS NOT NULL AS valid, coalesce(shape, CASE WHEN coalesce(p.n, q.n) IS NOT NULL THEN 'ok' ELSE 'unknown' END) AS reason, coalesce(p.n, q.n, 0) AS n, coalesce(p.f, q.f) AS first FROM k LEFT JOIN p ON p.asked = k.asked LEFT JOIN q ON q.asked = k.asked""")
+def q_terminal(spark, sf_dir):
+    """Whole names, short ones, several levels, text behind a suffix, blanks and unknown names, with the reason."""
+    n, r, s, c = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier", "customer"))
+    province, city = F.concat("r_name", F.lit("省")), F.concat("r_name", F.lit("省"), "n_name", F.lit("市"))
+    both = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    part = F.concat(city, F.lit("D"), (F.col("s_suppkey") % 7).cast("string"), F.lit("区"))
+    full = r.select(province.alias("full_name")).unionByName(both.select(city.alias("full_name"))).unionByName(s.join(both, F.col("s_nationkey") == F.col("n_nationkey")).select(part.alias("full_name"))).distinct()
+    m, d = F.col("c_custkey") % 8, (F.col("c_custkey") % 9).cast("string")
+    asked = (
+        F.when(m == 0, F.concat("n_name", F.lit("市"))).when(m == 1, F.col("n_name")).when(m == 2, F.concat(F.lit(" D"), d, F.lit("区"))).when(m == 3, F.concat("n_name", F.lit("市D1区")))
+        .when(m == 4, F.concat("n_name", F.lit("市x"))).when(m == 5, "  ").when(m == 6, F.col("c_name")).otherwise(F.concat(F.lit("D"), d))
+    )
+    return L.terminal_names(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(asked.alias("asked")), full)
+
+
+@query(f"""WITH {_ADMIN}, more AS (SELECT full_name, code FROM admin UNION ALL SELECT full_name, concat('9', substr(code, 2)) FROM admin WHERE substr(code, 6, 1) = '1')
+SELECT full_name, count(DISTINCT code) AS codes FROM more GROUP BY full_name HAVING count(DISTINCT code) > 1""")
+def q_conflicts(spark, sf_dir):
+    """Full names with two codes."""
+    a = _admin(spark, sf_dir)
+    return L.conflicting_names(a.unionByName(a.where("substr(code, 6, 1) = '1'").withColumn("code", F.expr("concat('9', substr(code, 2))"))))
 
 
 _NESTED = "(SELECT o_custkey AS trial, o_orderkey, CAST(o_orderdate AS DATE) AS date, l_linenumber, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
@@ -252,6 +289,21 @@ def q_tags(spark, sf_dir):
     return S.judge_fields(table(spark, sf_dir, "labels").withColumn("response", said), "doc_id", "response", dims)
 
 
+_BROKEN = ("<response><interaction_quality><reasoning>r1</reasoning><rating>5</rating><plan_humanization><reasoning>r2 &lt; &amp;</reasoning><rating>4</rating></plan_humanization></response>",
+           "<interaction_quality><reasoning>r1<rating>5</rating></interaction_quality><plan_human><reasoning>r2 < &</reasoning><rating>4</plan_human>",
+           "<plan_humanization_score><reasoning>r2 < &</reasoning>4</plan_humanization_score><interaction><reasoning>r1 <b>x</b></reasoning><rating>5",
+           "```\n<meta_evaluation><reasoning> m </reasoning><rating>3</rating></meta_evaluation>\n```")
+
+
+@query("""SELECT doc_id, dim, CASE WHEN dim = 'meta_evaluation' THEN CASE WHEN k = 3 THEN 'm' END WHEN k = 3 THEN NULL WHEN dim = 'interaction_quality' THEN CASE k WHEN 2 THEN 'r1 <b>x</b>' ELSE 'r1' END ELSE 'r2 < &' END AS reasoning,
+  CASE WHEN dim = 'meta_evaluation' THEN CASE WHEN k = 3 THEN '3' END WHEN k = 3 THEN NULL WHEN dim = 'interaction_quality' THEN '5' WHEN k < 2 THEN '4' END AS rating
+FROM (SELECT doc_id, doc_id % 4 AS k FROM labels), (VALUES ('interaction_quality'), ('plan_humanization'), ('meta_evaluation')) t(dim)""")
+def q_repair(spark, sf_dir):
+    """Near names of tags, missing closers and ratings, entities, and the meta judge's tag."""
+    said = F.element_at(F.array(*map(F.lit, _BROKEN)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return S.judge_fields(table(spark, sf_dir, "labels").withColumn("response", said), "doc_id", "response", (fixed.JUDGE_DIMENSIONS[2], fixed.JUDGE_DIMENSIONS[4], "meta_evaluation"))
+
+
 @query("SELECT CAST(toxic AS VARCHAR) AS dim, CAST(sum(v) AS DOUBLE) / count(v) AS mean, min(v) AS lo, max(v) AS hi, count(v) AS n FROM (SELECT toxic, CAST(CASE WHEN doc_id % 4 > 0 THEN doc_id % 5 + 1 END AS INT) AS v FROM labels) GROUP BY toxic")
 def q_dimstats(spark, sf_dir):
     """Every fourth score is missing."""

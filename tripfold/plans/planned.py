@@ -13,6 +13,7 @@ from tripfold.functions import jsonx
 from tripfold.operators import itinerary as I
 from tripfold.operators import plans as P
 from tripfold.plans.adapters import table
+from tripfold.session import written
 
 QUERIES, SQL = {}, {}
 
@@ -43,6 +44,7 @@ _SEGMENT = {
     "leg_st": "CASE WHEN p % 40 <> 0 THEN p * 37 % 1440 END",
     "leg_en": "(p * 37 + q * 30) % 1440",
     "leg_cost": "CASE WHEN s % 3 > 0 THEN q END",
+    "mode": "CASE WHEN q % 5 = 1 THEN '' WHEN q % 5 > 1 THEN concat('M', CAST(p % 3 AS STRING)) END",
 }
 # of its activity j, with a standing for the number below
 _NUMBER = "(p * 7 + s * 3 + j)"
@@ -83,7 +85,7 @@ def plan_texts(spark, sf_dir: str) -> DataFrame:
     )
     acts = f"""CASE acts WHEN 'null' THEN '"activities":null' WHEN 'empty' THEN '"activities":[]' WHEN 'some' THEN concat('"activities":[', array_join(transform(sequence(0, k - 1), j -> {act}), ','), ']') END"""
     leg = _json(
-        "'\"type\":\"intercity_transport\"'", _string("from_city", "from_city"), _string("to_city", "to_city"), f"""concat('"start_time":"', CASE WHEN leg_st IS NULL THEN '25:00' ELSE {_clock("leg_st")} END, '"')""",
+        "'\"type\":\"intercity_transport\"'", _string("from_city", "from_city"), _string("to_city", "to_city"), _string("transport_mode", "mode"), f"""concat('"start_time":"', CASE WHEN leg_st IS NULL THEN '25:00' ELSE {_clock("leg_st")} END, '"')""",
         _string("end_time", _clock("leg_en")), """concat('"avg_cost":"', CAST(leg_cost AS STRING), '"')""",
     )
     block = _json("""CASE WHEN NOT has_city THEN NULL WHEN city IS NULL THEN '"city":null' ELSE concat('"city":"', city, '"') END""", acts)
@@ -103,10 +105,11 @@ class Planned:
     """The operators' tables, from plan text."""
 
     def __init__(self, spark, sf_dir: str):
-        texts = plan_texts(spark, sf_dir)
+        texts = written(plan_texts(spark, sf_dir))
         self.days = P.days(texts.select("trial", jsonx.strict_variant("plan").alias("plan")))
         self.segments = P.segments(self.days)
         self.acts = P.activities(self.segments)
+        self.segments, self.acts = written(self.segments.drop("_acts")), written(self.acts)
         self.users = texts.select("trial", F.explode(F.array(*map(F.lit, ("U0", "U1", "U2")))).alias("usr"))
 
     def line(self) -> DataFrame:

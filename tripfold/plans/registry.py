@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import functools
 
-from tripfold.plans import conversation, itinerary, lookups, planned, rollups, toolcalls
+from tripfold.plans import conversation, itinerary, lookups, planned, planscores, preferred, rollups, toolcalls
 
-FAMILIES = (rollups, itinerary, planned, conversation, toolcalls, lookups)
+FAMILIES = (rollups, itinerary, planned, planscores, preferred, conversation, toolcalls, lookups)
 TEXT = {
     "d": ("q_overlap", "q_anti", "q_islands", "q_split", "q_timeline", "q_lastnn", "q_firstlast", "q_hotel", "q_intensity"),
     "round": ("q_repeat", "q_stopped"), "date": ("q_flatten",), "trial": ("q_utility",), "hour": ("q_window",),

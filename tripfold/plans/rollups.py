@@ -66,14 +66,25 @@ def q_cross(spark, sf_dir):
     return R.expand(tasks, 3).groupBy("difficulty").agg(F.count("*").alias("trials"))
 
 
-@query(f"""WITH {TRIALS}, w AS (SELECT o_orderkey AS task, CAST(range AS INT) AS trial FROM orders, range(1, 4)),
-done AS (SELECT DISTINCT task, trial FROM trl WHERE trial IS NOT NULL AND NOT failed)
-SELECT task, trial FROM w WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.task = w.task AND done.trial = w.trial)""")
+_RESULTS = """res AS (SELECT l_orderkey AS task, CAST(l_linenumber % 3 AS INT) AS trial, CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END AS success,
+  CASE l_suppkey % 4 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'connection_error' WHEN 2 THEN 'done' END AS reason, l_partkey AS part, l_linenumber AS line FROM lineitem),
+may AS (SELECT *, NOT coalesce(success, false) AND coalesce(reason IN ('rate_limit', 'connection_error'), false) AS again FROM res)"""
+
+
+def _results(spark, sf_dir):
+    flag, m = F.col("l_returnflag"), F.col("l_suppkey") % 4
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("task"), (F.col("l_linenumber") % 3).cast("int").alias("trial"), F.when(flag == "A", True).when(flag == "R", False).alias("success"),
+        F.when(m == 0, "rate_limit").when(m == 1, "connection_error").when(m == 2, "done").alias("reason"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"),
+    )
+
+
+@query(f"""WITH {_RESULTS}, w AS (SELECT o_orderkey AS task, CAST(range AS INT) AS trial FROM orders, range(3))
+SELECT task, trial FROM w WHERE NOT EXISTS (SELECT 1 FROM may WHERE may.task = w.task AND may.trial = w.trial AND NOT again)""")
 def q_resume(spark, sf_dir):
-    """Three trials of each task, less those that ended well."""
-    wanted = R.expand(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task")), 3).select("task", (F.col("trial") + 1).alias("trial"))
-    done = trials(spark, sf_dir).where("trial is not null and not failed")
-    return R.pending(wanted, done, ["task", "trial"])
+    """Three trials of each task, less those that succeeded or failed for good. A trial may have several results."""
+    wanted = R.expand(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task")), 3)
+    return R.resumed(wanted, _results(spark, sf_dir), ["task", "trial"])
 
 
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 25 WHEN '5-LOW' THEN 15 ELSE 20 END AS max_turn, CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '5-LOW' THEN 3 ELSE 4 END AS interval FROM orders")
@@ -84,12 +95,34 @@ def q_settings(spark, sf_dir):
     return R.with_settings(table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("k")), "k").drop("k")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 NOT IN (1, 2)")
+@query(f"""WITH {_RESULTS} SELECT task, trial, part, line FROM may m WHERE NOT EXISTS (SELECT 1 FROM may x WHERE x.task = m.task AND x.trial = m.trial AND x.again)""")
 def q_purge(spark, sf_dir):
-    """Every fourth run hit a rate limit, every fourth a broken connection, every fourth has no reason."""
-    m = F.col("o_orderkey") % 4
-    reason = F.when(m == 1, "rate_limit").when(m == 2, "connection_error").when(m == 3, "done")
-    return R.purge_retryable(table(spark, sf_dir, "orders").select("o_orderkey", reason.alias("reason")), "reason").drop("reason")
+    """Successful runs with such a reason stay; all rows of a trial that is run again go."""
+    return R.purge_retryable(_results(spark, sf_dir), ["task", "trial"]).select("task", "trial", "part", "line")
+
+
+@query("""SELECT o_orderkey AS task, coalesce(d, 'unknown') AS difficulty FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS d FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def q_lastline(spark, sf_dir):
+    """Tasks that are listed several times; the last line holds."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("task"), F.col("l_returnflag").alias("d"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("line"))
+    return R.with_difficulty(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task")), lines, "task", "d", "line")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS trial, concat('d', CAST(l_linenumber % 5 AS VARCHAR)) AS dim, CASE WHEN l_partkey % 6 > 0 THEN CAST(l_partkey % 5 + 1 AS DOUBLE) END AS raw, CASE WHEN l_returnflag <> 'R' THEN CAST(l_partkey % 5 * 25 AS DOUBLE) END AS norm,
+  CASE WHEN l_returnflag = 'A' THEN CAST(l_partkey % 5 * 20 AS DOUBLE) END AS penalised, CAST(NULL AS DOUBLE) AS nothing, CASE WHEN l_linenumber <> 4 THEN CAST(l_suppkey % 101 AS DOUBLE) END AS final FROM lineitem),
+l AS (UNPIVOT (SELECT trial, dim, coalesce(raw, -1) AS raw, coalesce(norm, -1) AS norm, coalesce(penalised, -1) AS penalised, coalesce(final, -1) AS final FROM s) ON raw, norm, penalised, final INTO NAME family VALUE x),
+v AS (SELECT trial, dim, family, nullif(x, -1) AS x FROM l), d AS (SELECT family, dim, coalesce(sum(x) / count(x), 0) AS mean FROM v GROUP BY ALL),
+t AS (SELECT family, trial, sum(x) / count(x) AS m FROM v WHERE family <> 'final' GROUP BY ALL)
+SELECT family, dim, round(mean, 6) AS mean FROM d UNION ALL SELECT family, 'overall', round(coalesce(sum(m) / count(m), 0), 6) FROM t GROUP BY family UNION ALL SELECT family, 'overall', round(sum(mean) / count(mean), 6) FROM d WHERE family = 'final' GROUP BY family""")
+def q_families(spark, sf_dir):
+    """Raw, normalised, penalised and final scores; a dimension without any final score counts 0."""
+    l = table(spark, sf_dir, "lineitem")
+    p, flag = F.col("l_partkey") % 5, F.col("l_returnflag")
+    s = l.select(
+        F.col("l_orderkey").alias("trial"), F.concat(F.lit("d"), (F.col("l_linenumber") % 5).cast("string")).alias("dim"), F.when(F.col("l_partkey") % 6 > 0, p + 1).alias("raw"), F.when(flag != "R", p * 25).alias("norm"),
+        F.when(flag == "A", p * 20).alias("penalised"), F.when(F.col("l_linenumber") != 4, F.col("l_suppkey") % 101).alias("final"),
+    )
+    return R.families(s, "trial").withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'run_failed' WHEN o_custkey % 5 = 0 THEN 'no_reference' WHEN o_orderkey % 3 = 0 THEN 'no_plan' WHEN o_orderkey % 7 = 0 THEN 'plan_unreadable' END AS error FROM orders")

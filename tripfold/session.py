@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the jobs rely on. Nothing here fixes a partition count: that
 # is the cluster's business, and adaptive execution coalesces or splits from it.
@@ -48,3 +49,18 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(path))
     context._tripfold_shipped = True
     return spark
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as a table below spark.checkpoint.dir and read again, so that plans which use it more than
+    once don't run it more than once. A local session without that setting gets a temporary folder; a cluster
+    must have it, since executors don't see one another's files."""
+    context = df.sparkSession.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tripfold-")
+    path = f"{base.rstrip('/')}/tripfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
