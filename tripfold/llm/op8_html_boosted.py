@@ -14,7 +14,8 @@ Changes cost SWITCH. The text of inside elements is put out in page order.
 
 Cases: a null or empty html gives an empty text; html without tags is one block; an element's text ends
 with the page if it isn't closed; repeated rows give repeated results; an empty table gives no rows;
-without any told element in the sample, text outside boilerplate elements is kept; of several rows with a
+without any told element in the sample, or with too few to fit trees that tell them apart, text outside
+boilerplate elements is kept; of several rows with a
 page_id the first html in order is learned from.
 """
 
@@ -34,6 +35,7 @@ from tripfold.llm.common import lean
 MAX_TRAIN = 600  # pages the trees are fitted on, at most
 TREES, DEPTH, BINS, RATE, LEAST = 40, 4, 24, 0.3, 20
 SWITCH = 2.0
+WRONG = 0.05  # share of the sample's own told elements that trees may get wrong, at most, to be used
 PAGES = 64  # pages that are scored together
 
 #: Element and attribute names of HTML.
@@ -316,6 +318,8 @@ def fitted(pages: DataFrame) -> Trees | None:
             blank = x.copy()
             blank[:, BLANKED] = 0
             trees, out = Trees.fit(np.concatenate([x, blank]), np.r_[y, y]), io.BytesIO()
+            if ((trees.logits(x) > 0) != (y > 0)).mean() > WRONG:
+                return
             np.savez_compressed(out, split=trees.split, cut=trees.cut, leaf=trees.leaf, base=trees.base)
             yield pa.RecordBatch.from_pydict({"trees": [out.getvalue()]})
 
