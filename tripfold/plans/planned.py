@@ -1,4 +1,4 @@
-"""Queries over plans: order lines as segments of plans in JSON text, which the operators take apart again.
+"""Queries over plans: customers' orders as segments of plans in JSON text, which the operators take apart again.
 
 The facts of a segment and an activity are expressions that Spark and DuckDB both understand. Here they are
 nested into JSON; the SQL twins use them flat, so that they never see the text.
@@ -30,7 +30,8 @@ def _clock(m: str) -> str:
     return f"concat(CAST(CAST(floor(({m}) / 60) AS INT) AS STRING), ':', CAST(({m}) % 60 AS STRING))"
 
 
-# of a segment, from trial, i (the line's place in its order), p, s, q (part, supplier, quantity)
+_FACTS = "CAST(o_orderkey * 7 % 20011 AS INT) AS p, CAST(o_orderkey * 3 % 1009 AS INT) AS s, CAST(floor(o_totalprice) AS INT) % 50 + 1 AS q"
+# of a segment, from trial, i (the order's place among its customer's) and the numbers p, s, q
 _SEGMENT = {
     "day_ix": "CAST(floor(i / 3) AS INT)",
     "seg_ix": "CAST(i % 3 AS INT)",
@@ -59,7 +60,7 @@ _ACTIVITY = {
     "cost": "CASE WHEN (a + q) % 4 > 1 THEN q END",
 }
 _WHO = ("", ',"participants":[]', ',"participants":["All"]', ',"participants":["U0"]', ',"participants":["U1","U2"]', ',"participants":"U1"', ',"participants":["U0","Bob","U0"]')
-_NO_DAYS = "o_orderkey % 23"  # 0: days are null; 1: no days at all
+_NO_DAYS = "c_custkey % 23"  # 0: days are null; 1: no days at all
 _NO_SEGMENTS = "(trial + day_ix) % 17"  # 0: null, 1: an empty list
 
 
@@ -72,8 +73,8 @@ def _string(name: str, value: str) -> str:
 
 
 def plan_texts(spark, sf_dir: str) -> DataFrame:
-    """trial and its plan as JSON text: an order's lines are segments, three a day."""
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS trial", "struct(l_linenumber, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS INT) AS q, l_extendedprice) AS l")
+    """trial and its plan as JSON text: a customer's orders are segments, three a day."""
+    lines = table(spark, sf_dir, "orders").selectExpr("o_custkey AS trial", f"struct(o_orderkey, {_FACTS}) AS l")
     seg = lines.groupBy("trial").agg(F.array_sort(F.collect_list("l")).alias("l")).select("trial", F.posexplode("l").alias("i", "l")).select("trial", "i", "l.p", "l.s", "l.q")
     seg = seg.selectExpr("trial", "p", "s", "q", *[f"{e} AS {n}" for n, e in _SEGMENT.items()])
     at = {n: "(" + e.replace("a % ", f"{_NUMBER} % ").replace("(a +", f"({_NUMBER} +") + ")" for n, e in _ACTIVITY.items()}
@@ -96,9 +97,9 @@ def plan_texts(spark, sf_dir: str) -> DataFrame:
     day = day.selectExpr("trial", "day_ix", f"""concat('{{"day":', CAST(day_ix + 1 AS STRING), CASE WHEN trial % 7 > 0 THEN ',"date":"2025-01-01"' ELSE '' END, ',"city_segments":', {listed}, '}}') AS json""")
     told = F.expr("array_join(transform(array_sort(collect_list(struct(day_ix, json))), x -> x.json), ',')")
     plan = day.groupBy(F.col("trial").alias("_t")).agg(told.alias("json"))
-    orders = table(spark, sf_dir, "orders").join(plan, F.col("o_orderkey") == F.col("_t"), "left")
+    everyone = table(spark, sf_dir, "customer").join(plan, F.col("c_custkey") == F.col("_t"), "left")
     text = f"CASE {_NO_DAYS} WHEN 0 THEN '{{\"days\":null}}' WHEN 1 THEN '{{\"days\":[]}}' ELSE concat('{{\"days\":[', coalesce(json, ''), ']}}') END"
-    return orders.selectExpr("o_orderkey AS trial", f"{text} AS plan")
+    return everyone.selectExpr("c_custkey AS trial", f"{text} AS plan")
 
 
 class Planned:
@@ -117,14 +118,13 @@ class Planned:
 
 
 _FLAT = f"""
-ln AS (SELECT l_orderkey AS trial, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), l_extendedprice) - 1 AS i,
-  l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS INT) AS q FROM lineitem),
+ln AS (SELECT o_custkey AS trial, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, {_FACTS} FROM orders),
 sg AS (SELECT trial, p, s, q, {", ".join(f"{e} AS {n}" for n, e in _SEGMENT.items())} FROM ln),
-dy AS (SELECT DISTINCT trial, day_ix, day_ix + 1 AS day FROM sg JOIN orders ON o_orderkey = trial WHERE {_NO_DAYS} > 1),
-seg AS (SELECT sg.*, day_ix + 1 AS day FROM sg JOIN orders ON o_orderkey = trial WHERE {_NO_DAYS} > 1 AND {_NO_SEGMENTS} > 1),
+dy AS (SELECT DISTINCT trial, day_ix, day_ix + 1 AS day FROM sg JOIN customer ON c_custkey = trial WHERE {_NO_DAYS} > 1),
+seg AS (SELECT sg.*, day_ix + 1 AS day FROM sg JOIN customer ON c_custkey = trial WHERE {_NO_DAYS} > 1 AND {_NO_SEGMENTS} > 1),
 nm AS (SELECT seg.*, j, {_NUMBER} AS a FROM seg, range(4) t(j) WHERE NOT leg AND acts = 'some' AND j < k),
 act AS (SELECT trial, day_ix, day, seg_ix, CAST(j AS INT) AS act_ix, city, {", ".join(f"{e} AS {n}" for n, e in _ACTIVITY.items())} FROM nm),
-usr AS (SELECT o_orderkey AS trial, u AS usr, CAST(right(u, 1) AS INT) AS n FROM orders, (VALUES ('U0'), ('U1'), ('U2')) v(u)),
+usr AS (SELECT c_custkey AS trial, u AS usr, CAST(right(u, 1) AS INT) AS n FROM customer, (VALUES ('U0'), ('U1'), ('U2')) v(u)),
 line AS (SELECT trial, day_ix, day, seg_ix, -1 AS act_ix, n AS who_ix, usr, 'intercity_transport' AS typ, NULL AS city, NULL AS starts, NULL AS ends, leg_st AS st, leg_en AS en FROM seg JOIN usr USING (trial) WHERE leg
   UNION ALL SELECT trial, day_ix, day, seg_ix, act_ix, who_ix, name, typ, city, CASE WHEN typ = 'intracity_transport' THEN frm ELSE location END, CASE WHEN typ = 'intracity_transport' THEN too ELSE location END, st, en
   FROM act JOIN (VALUES (0, 0, 'U0'), (0, 1, 'U1'), (0, 2, 'U2'), (1, 0, 'U0'), (1, 1, 'U1'), (1, 2, 'U2'), (2, 0, 'U0'), (2, 1, 'U1'), (2, 2, 'U2'), (3, 0, 'U0'), (4, 0, 'U1'), (4, 1, 'U2'),
@@ -236,7 +236,7 @@ def q_teams(spark, sf_dir):
   UNION ALL SELECT trial, CASE WHEN st IS NULL OR en IS NULL THEN 'invalid_time_format' ELSE 'invalid_time_range' END FROM act WHERE typ <> 'hotel' AND (st IS NULL OR en IS NULL OR en <= st)
   UNION ALL SELECT trial, 'invalid_time_format' FROM seg WHERE leg AND leg_st IS NULL),
 n AS (SELECT trial, issue, count(*) AS n FROM bad GROUP BY ALL), t AS (SELECT trial, sum(n) AS total, string_agg(concat(issue, '=', CAST(n AS VARCHAR)), ',' ORDER BY issue) AS counts FROM n GROUP BY trial)
-SELECT o_orderkey AS trial, total IS NULL AS valid, CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(counts, '') AS counts FROM orders LEFT JOIN t ON o_orderkey = trial""")
+SELECT c_custkey AS trial, total IS NULL AS valid, CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(counts, '') AS counts FROM customer LEFT JOIN t ON c_custkey = trial""")
 def q_planvalid(spark, sf_dir):
     """V11 over V4, V9 and V10 of plan text."""
     t = Planned(spark, sf_dir)

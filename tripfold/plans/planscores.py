@@ -1,4 +1,4 @@
-"""Queries that score the plans of planned.py by wishes that orders give, with parts as the catalogue of places."""
+"""Queries that score the plans of planned.py by wishes that customers give, with parts as the catalogue of places."""
 
 from __future__ import annotations
 
@@ -27,13 +27,13 @@ _POI = {
     "ord": "p_partkey", "poi_type": "CASE p_partkey % 3 WHEN 0 THEN 'hotels' WHEN 1 THEN 'attractions' ELSE 'food' END",
     "category": "CASE p_size % 5 WHEN 0 THEN '舒适型' WHEN 1 THEN '滑雪' WHEN 2 THEN '食堂' WHEN 3 THEN '' ELSE '古镇' END",
 }
-_OWN = "concat('C', CAST(o_orderkey % 4 AS STRING))"
-_L = lambda k: f"concat('L', CAST((o_orderkey + {k}) % 5 AS STRING))"
-_M = lambda k: f"concat('M', CAST((o_orderkey + {k}) % 3 AS STRING))"
+_OWN = "concat('C', CAST(c_custkey % 4 AS STRING))"
+_L = lambda k: f"concat('L', CAST((c_custkey + {k}) % 5 AS STRING))"
+_M = lambda k: f"concat('M', CAST((c_custkey + {k}) % 3 AS STRING))"
 
 
 def _wishes() -> list[tuple]:
-    """user, city, field, kind, ord and value of each wish, as expressions over an order. U2 wishes nothing."""
+    """user, city, field, kind, ord and value of each wish, as expressions over a customer. U2 wishes nothing."""
     out = []
     for usr, city in (("U0", _OWN), ("U1", f"concat({_OWN}, '市')")):
         lists = {
@@ -43,7 +43,7 @@ def _wishes() -> list[tuple]:
         out += [(usr, city, f, "list", k, v) for f, vs in lists.items() for k, v in enumerate(vs)]
         wide = {"transport.must": (_M(0),), "transport.reject": (_M(1), _M(0)) if usr == "U1" else (_M(1),), "transport.prefer": ("'M2'",), "transport.avoid": ("'M1'", "'M2'", "'M0'"), "hotel_preference.prefer": ("'商务酒店'",), "hotel_preference.avoid": ("'舒适型'", "'商务酒店'")}
         out += [(usr, None, f, "list", k, v) for f, vs in wide.items() for k, v in enumerate(vs) if not (f.startswith("hotel") and usr == "U1" and f.endswith("prefer"))]
-        out += [(usr, None, "avg_budget", "scalar", 0, "CAST(o_orderkey % 90 AS STRING)"), (usr, None, "intensity.max_poi_per_day", "scalar", 0, "CAST(o_orderkey % 3 AS STRING)"), (usr, None, "intensity.max_active_hours", "scalar", 0, "CAST(o_orderkey % 2 AS STRING)")]
+        out += [(usr, None, "avg_budget", "scalar", 0, "CAST(c_custkey % 90 AS STRING)"), (usr, None, "intensity.max_poi_per_day", "scalar", 0, "CAST(c_custkey % 3 AS STRING)"), (usr, None, "intensity.max_active_hours", "scalar", 0, "CAST(c_custkey % 2 AS STRING)")]
     return out
 
 
@@ -52,7 +52,7 @@ class Scored(Planned):
         super().__init__(spark, sf_dir)
         self.poi = table(spark, sf_dir, "part").where("p_partkey % 5 <> 4").selectExpr(*[f"{e} AS {n}" for n, e in _POI.items()])
         rows = ", ".join(f"struct('{u}' AS usr, {c or 'CAST(NULL AS STRING)'} AS city, '{f}' AS field, '{k}' AS kind, {o} AS ord, {v} AS value)" for u, c, f, k, o, v in _wishes())
-        self.wishes = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS trial", f"inline(array({rows}))")
+        self.wishes = table(spark, sf_dir, "customer").selectExpr("c_custkey AS trial", f"inline(array({rows}))")
         self.known = S.categories(self.acts.withColumn("location", F.coalesce("location", F.lit(""))), self.poi)
         self.taking = S.activity_users(self.acts, self.users)
 
@@ -67,7 +67,7 @@ _HOTELS = ", ".join(f"'{c}'" for c in fixed.HOTEL_CATEGORIES)
 _BAD = {k: ", ".join(f"'{c}'" for c in v) for k, v in fixed.EXCLUDED_CATEGORIES.items()}
 _CATEGORY = f"""CASE t WHEN 'hotels' THEN CASE WHEN c IN ({_HOTELS}) THEN c ELSE '商务酒店' END WHEN 'attractions' THEN CASE WHEN trim(c) = '' OR c IN ({_BAD["attractions"]}) THEN '公园' ELSE c END
   ELSE CASE WHEN trim(c) = '' OR c IN ({_BAD["food"]}) THEN '中餐' ELSE c END END"""
-_WISHES = " UNION ALL ".join(f"SELECT o_orderkey AS trial, '{u}' AS usr, {c or 'NULL'} AS city, '{f}' AS field, '{k}' AS kind, {o} AS ord, {v} AS value FROM orders" for u, c, f, k, o, v in _wishes())
+_WISHES = " UNION ALL ".join(f"SELECT c_custkey AS trial, '{u}' AS usr, {c or 'NULL'} AS city, '{f}' AS field, '{k}' AS kind, {o} AS ord, {v} AS value FROM customer" for u, c, f, k, o, v in _wishes())
 _SCORES = (
     _FLAT
     + f""", wish AS ({_WISHES}),
