@@ -33,6 +33,18 @@ def test_overlaps_touching_and_overnight(spark):
     assert I.islands(a, ["usr", "d"]).select("island").distinct().count() == 1
 
 
+def test_the_list_decides_what_comes_before(spark):
+    a = acts(spark, [("food", 840, 900, "a"), ("food", 540, 600, "b"), ("hotel", 500, 480, "c"), ("rest", 1200, 60, "d"), ("food", 580, 620, "e")])
+    order, chunk = ["ix"], chunk_of("ix", 2)
+    # 14:00 then 9:00 is an issue; neither the hotel nor the end past midnight moves the clock
+    assert sorted(r["ix"] for r in I.backwards(a, ["usr", "d"], order, chunk).collect()) == [1, 2, 4]
+    ends = I.day_ends(a, ["usr", "d"], "loc", order).first()
+    assert (ends["first_place"], ends["last_place"]) == ("a", "e")
+    assert sorted((r["ix"], r["before"]) for r in I.place_changes(a, ["usr", "d"], "loc", order, chunk).collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    two = a.unionByName(a.withColumn("d", F.lit(2)))
+    assert [(r["d"], r["issue"]) for r in I.nights_without_hotel(two, "usr", "d", order).collect()] == [(1, "hotel_not_last")]
+
+
 def test_pairs_count_once_over_many_hours(spark):
     a = acts(spark, [("food", 0, 600, "a"), ("rest", 10, 590, "b")])
     assert I.overlap_pairs(a, ["usr", "d"]).count() == 1
@@ -40,7 +52,7 @@ def test_pairs_count_once_over_many_hours(spark):
 
 def test_empty_groups(spark):
     a = acts(spark, []).limit(0)
-    for df in (I.overlap_pairs(a, ["usr"]), I.with_conflict(a, ["usr"]), I.islands(a, ["usr"]), I.misplaced(a, ["usr"])):
+    for df in (I.overlap_pairs(a, ["usr"]), I.with_conflict(a, ["usr"]), I.islands(a, ["usr"]), I.misplaced(a, ["usr"], ["ix"], chunk_of("ix")), I.backwards(a, ["usr"], ["ix"], chunk_of("ix"))):
         assert df.count() == 0
 
 

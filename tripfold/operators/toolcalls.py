@@ -51,6 +51,22 @@ def cache_status(cache: DataFrame, missed: DataFrame) -> DataFrame:
     return a.join(b, "tool", "full_outer").select("tool", F.coalesce("cached", F.lit(0)).alias("cached"), F.coalesce("missed", F.lit(0)).alias("missed"))
 
 
+def call_counters(calls: DataFrame, trial: str) -> DataFrame:
+    """Executed, hits, misses and errors of each trial's calls(malformed, failed, hit, has_error).
+
+    Arguments that are no JSON are an error and never reach the cache; a call that is refused or ends in an
+    exception (failed) is a miss and an error; of the others the cache tells hit or miss, and the result
+    whether it is an error. Nulls are false.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    malformed, failed = flag("malformed"), ~flag("malformed") & flag("failed")
+    ran = ~malformed & ~failed
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return calls.groupBy(trial).agg(
+        F.count("*").alias("executed"), one(ran & flag("hit")).alias("hits"), one(failed | (ran & ~flag("hit"))).alias("misses"), one(malformed | failed | (ran & flag("has_error"))).alias("errors")
+    )
+
+
 def uncovered(missed: DataFrame, cache: DataFrame) -> DataFrame:
     """Missed calls that the cache still lacks."""
     return missed.join(cache, ["tool", "cache_key"], "left_anti")

@@ -104,6 +104,16 @@ def q_missed(spark, sf_dir):
     return T.cache_status(cache.where("tool <> 'error'"), late.where("tool <> 'view'"))
 
 
+@query(f"""WITH {CALLS}, f AS (SELECT trial, seq % 11 = 0 AS bad, seq % 11 <> 0 AND tool = 'error' AND seq % 3 = 0 AS boom, early AS hit, CASE WHEN seq % 5 > 0 THEN tool = 'error' END AS err FROM cal)
+SELECT trial, count(*) AS executed, CAST(sum(CASE WHEN NOT bad AND NOT boom AND hit THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN boom OR NOT bad AND NOT hit THEN 1 ELSE 0 END) AS BIGINT) AS misses,
+  CAST(sum(CASE WHEN bad OR boom OR coalesce(err, false) THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM f GROUP BY trial""")
+def q_counters(spark, sf_dir):
+    """What failed is a miss and an error, what can't be read an error alone."""
+    c, error = calls(spark, sf_dir), F.col("tool") == "error"
+    flags = c.select("trial", (F.col("seq") % 11 == 0).alias("malformed"), (error & (F.col("seq") % 3 == 0)).alias("failed"), F.col("early").alias("hit"), F.when(F.col("seq") % 5 > 0, error).alias("has_error"))
+    return T.call_counters(flags, "trial")
+
+
 @query(_CACHE + " SELECT tool, seq FROM late WHERE NOT EXISTS (SELECT 1 FROM cache WHERE cache.tool = late.tool AND cache.cache_key = late.cache_key AND cache.tool <> 'click')")
 def q_uncovered(spark, sf_dir):
     """T12."""

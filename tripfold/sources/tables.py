@@ -29,6 +29,12 @@ def write_examples(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("tool").parquet(path)
 
 
+def read_examples(spark: SparkSession, path: str, tools: list[str] | None = None) -> DataFrame:
+    """The stored examples; with tools only their folders are read."""
+    rows = spark.read.parquet(path)
+    return rows if tools is None else rows.where(F.col("tool").isin(*tools))
+
+
 def append_results(df: DataFrame, path: str, resume: bool) -> None:
     """Result rows as JSON lines; without resume they replace what was there."""
     df.write.mode("append" if resume else "overwrite").json(path)
@@ -45,6 +51,12 @@ def append_missed(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("tool").parquet(path)
 
 
+def read_missed(spark: SparkSession, path: str, tool: str | None = None) -> DataFrame:
+    """The missed calls, of one tool if it is given."""
+    rows = spark.read.parquet(path)
+    return rows if tool is None else rows.where(F.col("tool") == tool)
+
+
 def clear_missed(spark: SparkSession, path: str, tool: str) -> None:
     """One tool's missed calls go, the others' stay."""
     schema = spark.read.parquet(path).drop("tool").schema
