@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripfold.functions import fixed, jsonx, text
-from tripfold.session import written
 
 DEPTH = 6  # levels of objects that are walked down; what lies below stays one value
 WHO = ["trial", "usr"]
@@ -32,22 +31,29 @@ def user_slots(snapshots: DataFrame) -> DataFrame:
     return e.select("trial", "usr", F.when(wrapped, F.try_variant_get("_v", "$.preference", "variant")).otherwise(F.col("_v")).alias("pref"))
 
 
+def _levels(v: Column, depth: int, step, shown: str) -> Column:
+    """What step gives for the nodes of a VARIANT, level by level from the root, as one array. A node is a struct of
+    path, value and map, its fields, which are null for anything but an object."""
+    node = lambda path, value: F.struct(path.alias("path"), value.alias("value"), jsonx.as_map(value).alias("map"))
+    below = lambda n: F.transform(F.map_entries(n["map"]), lambda e: node(F.concat(n["path"], F.array(e["key"])), e["value"]))
+    start = F.struct(F.array().cast(f"array<{shown}>").alias("done"), F.array(node(F.array().cast("array<string>"), v)).alias("level"))
+    one = lambda s, _: F.struct(F.concat(s["done"], step(s["level"])).alias("done"), F.flatten(F.transform(F.filter(s["level"], lambda n: n["map"].isNotNull()), below)).alias("level"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, one, lambda s: s["done"])
+
+
 def nodes(values: DataFrame, value: str, keys: list[str], depth: int = DEPTH) -> DataFrame:
     """keys, path, value and is_object for each node of each row's VARIANT, the root (an empty path) included.
 
-    Objects are opened level by level; each level is one explode, without a shuffle.
+    Objects are opened level by level within the row, which then is one explode, without a shuffle.
     """
-    root = F.array().cast("array<string>")
-    row = lambda path, v, open_: F.struct(path.alias("path"), v.alias("value"), open_.alias("open"))
-    at = values.select(*keys, F.explode(F.array(row(root, F.col(value), F.lit(True)))).alias("_n"))
-    path, v = F.col("_n.path"), F.col("_n.value")
-    for _ in range(depth):
-        # a node that isn't open was given by an earlier level already
-        below = F.when(F.col("_n.open"), F.transform(_fields(v), lambda e: row(F.concat(path, F.array(e["key"])), e["value"], F.lit(True))))
-        self_ = F.array(row(path, v, F.lit(False)))
-        at = at.select(*keys, F.explode(F.concat(self_, F.coalesce(below, F.array().cast("array<struct<path:array<string>,value:variant,open:boolean>>")))).alias("_n"))
-    kind = jsonx.variant_kind(F.col("_n.value"))
-    return at.select(*keys, F.col("_n.path").alias("path"), F.col("_n.value").alias("value"), F.coalesce(kind == "object", F.lit(False)).alias("is_object"))
+    step = lambda level: F.transform(level, lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value"), n["map"].isNotNull().alias("is_object")))
+    found = _levels(F.col(value), depth, step, "struct<path:array<string>,value:variant,is_object:boolean>")
+    return values.select(*keys, F.explode(found).alias("_n")).select(*keys, "_n.path", "_n.value", "_n.is_object")
+
+
+def object_paths(v: Column, depth: int = DEPTH) -> Column:
+    """The paths of the nodes of a VARIANT that are objects."""
+    return _levels(v, depth, lambda level: F.transform(F.filter(level, lambda n: n["map"].isNotNull()), lambda n: n["path"]), "array<string>")
 
 
 def leaf_values(tree: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,29 +110,35 @@ def _below(path: Column, top: Column) -> Column:
     return F.slice(path, 1, F.size(top)) == top
 
 
-def _replaced(tree: DataFrame, edits: DataFrame) -> DataFrame:
-    """tree with each user's edit (path p, value v; at most one a user): the nodes at and below p give way to those of v."""
-    e = edits.select(F.col("trial").alias("_t"), F.col("usr").alias("_u"), F.col("real_path").alias("_p"))
-    gone = F.coalesce(_below(F.col("path"), F.col("_p")), F.lit(False))
-    stay = tree.join(e, F.col("trial").eqNullSafe(F.col("_t")) & F.col("usr").eqNullSafe(F.col("_u")), "left").where(~gone).select(tree.columns)
-    new = nodes(edits.select(*WHO, "real_path", "value"), "value", [*WHO, "real_path"])
-    return stay.unionByName(new.select(*WHO, F.concat("real_path", "path").alias("path"), "value", "is_object"))
+def _real_path(path: Column, split: Column, objects: Column) -> Column:
+    """The first of the path and the path below either section whose parent is one of the objects, else null."""
+    parent = F.slice(split, F.lit(1), F.size(split) - 1)
+    real = F.when(F.array_contains(objects, parent), split)
+    for x in fixed.PATH_PREFIXES:
+        section = F.array(F.lit(x.rstrip(".")))
+        real = real.when(~F.startswith(path, F.lit(x)) & F.array_contains(objects, F.concat(section, parent)), F.concat(section, split))
+    return real
+
+
+def _met(marks: DataFrame, state: DataFrame) -> DataFrame:
+    """Markers with their user's state. Both sides grow with the users, and sizes guessed from what a row unfolds to
+    may be far too low, so neither side is to be broadcast."""
+    return marks.join(state.hint("merge"), WHO)
 
 
-def _resolved(markers: DataFrame, tree: DataFrame) -> DataFrame:
-    """markers with real_path: the first of the path and the path below either section whose parent is an object
-    of the user's, else null."""
-    split = F.split("path", "\\.")
-    tried = F.filter(
-        F.array(F.struct(F.lit(0).alias("n"), split.alias("p")), *[F.when(~F.startswith("path", F.lit(x)), F.struct(F.lit(n + 1).alias("n"), F.concat(F.array(F.lit(x.rstrip("."))), split).alias("p"))) for n, x in enumerate(fixed.PATH_PREFIXES)]),
-        lambda c: c.isNotNull(),
-    )
-    each = markers.select(*WHO, "seq", F.explode(tried).alias("_c")).withColumn("_parent", F.slice("_c.p", 1, F.greatest(F.size("_c.p") - 1, F.lit(0))))
-    there = tree.where("is_object").select(F.col("trial").alias("_t"), F.col("usr").alias("_u"), F.col("path").alias("_path")).distinct()
-    hit = each.join(there, F.col("trial").eqNullSafe(F.col("_t")) & F.col("usr").eqNullSafe(F.col("_u")) & (F.col("_parent") == F.col("_path")), "left_semi")
-    first = hit.groupBy(F.col("trial").alias("_t"), F.col("usr").alias("_u"), F.col("seq").alias("_s")).agg(F.min("_c").alias("_c"))
-    same = F.col("trial").eqNullSafe(F.col("_t")) & F.col("usr").eqNullSafe(F.col("_u")) & (F.col("seq") == F.col("_s"))
-    return markers.join(first, same, "left").withColumn("real_path", F.col("_c.p")).select(*markers.columns, "real_path")
+def _round(marks: DataFrame, state: DataFrame, k: int, last: bool) -> DataFrame:
+    """state after each user's edit number k, the first one behind their last that counts. state: trial, usr, _at and
+    _edits, the places and the edits (path, value) so far, and _objects, the objects' paths before each."""
+    behind = F.lit(True) if k == 0 else (F.size("_at") == k) & (F.col("seq") > F.get("_at", F.lit(k - 1)))
+    real = F.when(behind, _real_path(F.col("path"), F.col("_split"), F.get("_objects", F.lit(k))))
+    found = _met(marks, state).withColumn("_real", real)
+    hit = F.min_by(F.struct("seq", F.struct(F.col("_real").alias("path"), "value").alias("edit")), F.when(F.col("_real").isNotNull(), F.col("seq")))
+    after = found.groupBy(*WHO).agg(*[F.first(c).alias(c) for c in ("_at", "_edits", "_objects")], hit.alias("_hit"))  # one state a user
+    with_ = lambda xs, x: F.when(F.col("_hit").isNotNull(), F.concat(xs, F.array(x))).otherwise(F.col(xs)).alias(xs)
+    edit = F.col("_hit.edit")
+    stay = F.filter(F.get("_objects", F.lit(k)), lambda x: ~_below(x, edit["path"]))
+    now = F.concat(stay, F.transform(object_paths(edit["value"]), lambda x: F.concat(edit["path"], x)))
+    return after.select(*WHO, with_("_at", F.col("_hit.seq")), with_("_edits", edit), F.col("_objects") if last else with_("_objects", now))
 
 
 def effective(prefs: DataFrame, markers: DataFrame, most: int = fixed.MAX_EDITS_PER_USER) -> tuple[DataFrame, DataFrame]:
@@ -138,19 +150,27 @@ def effective(prefs: DataFrame, markers: DataFrame, most: int = fixed.MAX_EDITS_
     edit takes the place of what was at its path. After `most` edits of a user the rest is refused and not
     logged. The log has trial, usr, seq, field_path and applied; users without preferences log nothing.
 
-    A round finds each user's next edit that counts: markers behind the last one meet the user's objects by
-    the parent's path. So there are `most` rounds, whatever the number of markers.
+    A round finds each user's next edit that counts: markers meet the paths of their user's objects, which are
+    bounded by the user's preferences. So there are `most` rounds, whatever the number of markers, and all of them
+    go by trial and user. Preferences are opened into nodes once, when all edits are known.
     """
-    tree = written(nodes(prefs, "pref", WHO))
-    left = markers.select(*WHO, "seq", "path", "value").where("path is not null").withColumn("path", text.fix_path("path")).join(prefs.select(*WHO).distinct(), WHO, "left_semi")
-    log = None
-    for _ in range(most):
-        found = written(_resolved(left, tree))
-        nearest = found.where("real_path is not null").groupBy(F.col("trial").alias("_t"), F.col("usr").alias("_u")).agg(F.min("seq").alias("_n"))
-        first = found.join(nearest, F.col("trial").eqNullSafe(F.col("_t")) & F.col("usr").eqNullSafe(F.col("_u")), "left").drop("_t", "_u")
-        first = written(first)
-        seen = first.where("_n is null or seq <= _n").select(*WHO, "seq", F.coalesce(F.array_join("real_path", "."), "path").alias("field_path"), F.col("real_path").isNotNull().alias("applied"))
-        log = seen if log is None else log.unionByName(seen)
-        tree = written(_replaced(tree, first.where("seq = _n").select(*WHO, "real_path", "value")))
-        left = first.where("seq > _n").select(*WHO, "seq", "path", "value")
-    return tree, log
+    marks = markers.select(*WHO, "seq", "path", "value").where("path is not null and trial is not null and usr is not null").withColumn("path", text.fix_path("path")).withColumn("_split", F.split("path", "\\."))
+    seq = marks.schema["seq"].dataType.simpleString()
+    state = prefs.select(*WHO, object_paths(F.col("pref")).alias("_o")).groupBy(*WHO).agg(F.array(F.flatten(F.collect_list("_o"))).alias("_objects"))
+    state = state.select(*WHO, F.array().cast(f"array<{seq}>").alias("_at"), F.array().cast("array<struct<path:array<string>,value:variant>>").alias("_edits"), "_objects")
+    for k in range(most):
+        state = _round(marks, state, k, k == most - 1)
+
+    before = F.size(F.filter("_at", lambda n: n < F.col("seq")))
+    tried = _met(marks, state).withColumn("_k", before).where(F.col("_k") < most)
+    real = _real_path(F.col("path"), F.col("_split"), F.get("_objects", F.col("_k")))
+    log = tried.withColumn("_real", real).select(*WHO, "seq", F.coalesce(F.array_join("_real", "."), "path").alias("field_path"), F.col("_real").isNotNull().alias("applied"))
+
+    told = prefs.groupBy(*WHO).agg(F.collect_list(F.struct("pref")).alias("_prefs")).join(state.select(*WHO, "_edits").hint("merge"), WHO, "left")
+    edits = F.coalesce("_edits", F.array().cast("array<struct<path:array<string>,value:variant>>"))
+    later = lambda i: F.transform(F.slice(edits, i + 1, F.size(edits)), lambda e: e["path"])
+    row = lambda top, value, over: F.struct(top.alias("_top"), value.alias("_v"), over.alias("_over"))
+    first = F.transform("_prefs", lambda p: row(F.array().cast("array<string>"), p["pref"], later(F.lit(0))))
+    layers = told.select(*WHO, F.explode(F.concat(first, F.transform(edits, lambda e, i: row(e["path"], e["value"], later(i + 1))))).alias("_l")).select(*WHO, "_l.*")
+    tree = nodes(layers, "_v", [*WHO, "_top", "_over"]).withColumn("path", F.concat("_top", "path"))
+    return tree.where(~F.exists("_over", lambda p: _below(F.col("path"), p))).select(*WHO, "path", "value", "is_object"), log

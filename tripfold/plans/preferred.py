@@ -88,7 +88,7 @@ _VALUES = ("{}", '["HX","HY"]', '"walk"', '["tram"]', '["FX"]', "1", '{"must":["
 
 def edits(spark, sf_dir: str) -> DataFrame:
     """trial, usr, seq, path, value VARIANT: a customer's orders as edits in order, of eight kinds."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
     pick = lambda xs, by: F.replace(F.element_at(F.array(*map(F.lit, xs)), (F.col("o_orderkey") % 8 + 1).cast("int")), F.lit("{}"), by.cast("string"))
     value = F.when(F.col("o_orderkey") % 8 == 6, _VALUES[6]).otherwise(pick(_VALUES, F.col("o_orderkey") % 1000))
     return o.select(
