@@ -33,3 +33,6 @@ def test_edits_are_met_without_tables_between_the_rounds(spark, edited):
 
 def test_preferences_are_opened_once(edited):
     assert plan(P.nodes(edited[0], "pref", P.WHO)).count("Generate ") == 1
+    tree, _ = P.effective(*edited)
+    shown = plan(P.items(tree, P.WHO))
+    assert "Union" not in shown and "Broadcast" not in shown

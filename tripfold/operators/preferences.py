@@ -72,15 +72,18 @@ def items(leaves: DataFrame, keys: list[str]) -> DataFrame:
     The fields are fixed (see fixed.GLOBAL_SCALARS and so on); a list gives a row for each item, with its
     place; an empty list, a value of the wrong kind and anything else below them give none.
     """
-    path, kind = F.col("path"), jsonx.variant_kind(F.col("value"))
+    path = F.col("path")
     in_city = F.coalesce(F.get(path, F.lit(0)) == fixed.CITY_SECTION, F.lit(False))
     field = F.when(in_city, F.array_join(F.slice(path, 3, DEPTH), ".")).when(F.get(path, F.lit(0)) == fixed.GLOBAL_SECTION, F.array_join(F.slice(path, 2, DEPTH), "."))
-    named = leaves.select(*keys, F.when(in_city, F.get(path, F.lit(1))).alias("city"), field.alias("field"), kind.alias("_kind"), "value")
+    named = leaves.select(*keys, F.when(in_city, F.get(path, F.lit(1))).alias("city"), field.alias("field"), "value")
     lists = F.when(F.col("city").isNull(), F.col("field").isin(*fixed.GLOBAL_LISTS)).otherwise(F.col("field").isin(*fixed.CITY_LISTS))
-    listed = named.where(lists & (F.col("_kind") == "array")).select(*keys, "city", "field", F.lit("list").alias("kind"), F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("ord", "_v"))
-    scalars = named.where(F.col("city").isNull() & F.col("field").isin(*fixed.GLOBAL_SCALARS) & ~F.coalesce(F.col("_kind").isin("array", "object", "null"), F.lit(True)))
-    scalars = scalars.select(*keys, "city", "field", F.lit("scalar").alias("kind"), F.lit(0).alias("ord"), F.col("value").alias("_v"))
-    return listed.unionByName(scalars).withColumn("value", jsonx.as_text(F.col("_v"))).drop("_v")
+    scalars = F.col("city").isNull() & F.col("field").isin(*fixed.GLOBAL_SCALARS)
+    asked = named.where("field is not null").where(lists | scalars).withColumn("_kind", jsonx.variant_kind(F.col("value")))
+    many = lists & (F.col("_kind") == "array")
+    one = scalars & ~F.col("_kind").isin("array", "object", "null")
+    found = F.when(many, F.try_variant_get("value", "$", "array<variant>")).when(one, F.array("value"))
+    rows = asked.select(*keys, "city", "field", F.when(many, "list").otherwise("scalar").alias("kind"), F.posexplode(found).alias("ord", "_v"))
+    return rows.withColumn("value", jsonx.as_text(F.col("_v"))).drop("_v")
 
 
 def as_lists(found: DataFrame, keys: list[str]) -> DataFrame:
