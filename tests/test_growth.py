@@ -5,7 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
+from tripfold.operators import lookups
+from tripfold.operators import plan_scores as S
 from tripfold.operators import preferences as P
+from tripfold.plans import planned, planscores
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +40,31 @@ def test_preferences_are_opened_once(edited):
     tree, _ = P.effective(*edited)
     shown = plan(P.items(tree, P.WHO))
     assert "Union" not in shown and "Broadcast" not in shown
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    """Tables that Spark takes to be small enough for broadcasts."""
+    few = lambda e: spark.range(3).selectExpr("id AS trial", *e)
+    users = few(["'u' AS usr"])
+    wishes = few(["'u' AS usr", "'C' AS city", "'attractions.must_visit' AS field", "'list' AS kind", "0 AS ord", "'L' AS value"])
+    acts = few(["0 AS day_ix", "1L AS day", "0 AS seg_ix", "0 AS act_ix", "'C' AS city", "'attraction' AS typ", "'L1' AS location", "CAST(NULL AS STRING) AS `to`", "'9:00' AS start_time", "540 AS st", "600 AS en", "'1' AS cost", "array('u') AS who"])
+    segments = few(["'intercity' AS kind", "'M' AS transport_mode", "'1' AS cost"])
+    return users, wishes, acts, segments
+
+
+def test_named_places_and_conflicts_broadcast_nothing(spark, scored):
+    users, wishes, acts, _ = scored
+    by_name, taken = S.named(S.activity_users(acts, users), wishes)
+    clean = S.scorable(acts, users)
+    assert [r["score"] for r in by_name.collect()] == [2, 2, 2]
+    for df in (by_name, taken, S.activity_users(acts, users), clean):
+        assert "Broadcast" not in plan(df)
+    assert "Broadcast" not in plan(planned.plan_texts(spark, SF))
+
+
+def test_a_catalogue_is_grouped_before_it_is_asked(spark):
+    poi = spark.range(9).selectExpr("'C' AS city", "concat('L', id % 2) AS name", "9 - id AS ord")
+    found = lookups.match_places(spark.range(1).selectExpr("'C' AS city", "'L1' AS place"), poi)
+    assert [tuple(r) for r in found.collect()] == [("C", "L1", "L1", 2)]
+    assert "partial_min(ord" in plan(found).split("BroadcastExchange")[-1] or "partial_min(ord" in plan(found).split("Join")[-1]  # below the join, not above it

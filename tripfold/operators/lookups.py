@@ -24,8 +24,8 @@ def match_places(places: DataFrame, poi: DataFrame) -> DataFrame:
     character, if it is one), so that pair is a join key and no place meets all names of its city.
     """
     asked = places.select("city", "place").where("place <> ''").distinct()
+    poi = poi.groupBy("city", "name").agg(F.min("ord").alias("ord"))  # a name stored more than once counts as the first
     exact = asked.join(poi.select("city", F.col("name").alias("place"), "ord", F.col("name").alias("matched")), ["city", "place"])
-    exact = exact.groupBy("city", "place").agg(F.min("ord").alias("ord")).withColumn("matched", F.col("place"))
     rest = asked.join(exact, ["city", "place"], "left_anti").withColumn("gram", F.left("place", F.lit(2)))
     names = poi.select("city", "name", "ord", F.explode(grams("name")).alias("gram"))
     found = rest.join(names, ["city", "gram"]).where(F.contains("name", "place"))

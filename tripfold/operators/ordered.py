@@ -67,7 +67,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: list[Runni
     match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(carry[f"_k_{k}"]) for k in keys]
                    + [df["_chunk"] == carry["_k_chunk"]])
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    out = df.join(carry, match, "left")
+    out = df.join(carry.hint("merge"), match, "left")  # with many small groups there are nearly as many chunks as rows
     for v in values:
         out = out.withColumn(v.name, _join_up(v, _local(v, w), F.col(f"_c_{v.name}")))
     drop = [f"_k_{k}" for k in keys] + ["_k_chunk", "_chunk"]

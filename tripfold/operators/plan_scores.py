@@ -3,6 +3,9 @@
 wishes are preferences.items: trial, usr, city, field, kind, ord, value. Scores come as trial, usr,
 dimension, field, score, with the place or the item that they are about in about. A missing name is an empty
 one; a name contains an empty wish. Places are resolved once for each city and name (lookups.match_places).
+
+Both sides of a join by trial grow with the trials, and Spark may guess the size of what is unfolded from a row, or
+read from a compressed table, far too low. So these joins are hinted to merge: neither side is ever broadcast.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from tripfold.operators import lookups
 from tripfold.operators.itinerary import with_conflict
 from tripfold.operators.plans import DAY
 from tripfold.operators.scoring import DIMENSIONS, fairness, participants
+from tripfold.session import written
 
 ACT = [*DAY, "seg_ix", "act_ix"]
 SCORE = ["trial", "usr", "dimension", "field", "about", "score"]
@@ -25,7 +29,7 @@ SCORE = ["trial", "usr", "dimension", "field", "about", "score"]
 def activity_users(acts: DataFrame, users: DataFrame) -> DataFrame:
     """A row for each activity and known user who takes part, once."""
     everyone = users.groupBy("trial").agg(F.array_sort(F.collect_set("usr")).alias("_all"))
-    rows = acts.withColumn("location", F.coalesce("location", F.lit(""))).join(everyone, "trial")
+    rows = acts.withColumn("location", F.coalesce("location", F.lit(""))).join(everyone.hint("merge"), "trial")
     return rows.withColumn("usr", F.explode(F.array_intersect(participants(F.col("who"), F.col("_all")), F.col("_all")))).drop("_all")
 
 
@@ -35,12 +39,17 @@ def without_conflicts(taking: DataFrame) -> DataFrame:
     found = with_conflict(taking.select(*DAY, "day", "seg_ix", "usr", F.col("act_ix").alias("ix"), "typ", "st", "en", "_place", "start_time"), [*DAY, "seg_ix", "usr"])
     bad = found.where("conflict").select("trial", F.col("day").alias("_day"), F.col("_place").alias("_p"), F.col("start_time").alias("_s")).distinct()
     same = (F.col("day") == F.col("_day")) & F.col("_place").eqNullSafe(F.col("_p")) & F.col("start_time").eqNullSafe(F.col("_s"))
-    return taking.alias("t").join(bad.alias("b"), (F.col("t.trial") == F.col("b.trial")) & same, "left_anti")
+    return taking.alias("t").join(bad.hint("merge").alias("b"), (F.col("t.trial") == F.col("b.trial")) & same, "left_anti")
 
 
-def scorable(acts: DataFrame, users: DataFrame) -> DataFrame:
+def _placed(acts: DataFrame, users: DataFrame) -> DataFrame:
+    """activity_users with the place (where there is none, the goal), written since conflicts take it more than once."""
     place = F.when(F.col("location").isNotNull(), F.col("location")).otherwise(F.col("to"))
-    return without_conflicts(activity_users(acts.withColumn("_place", place), users)).drop("_place")
+    return written(activity_users(acts.withColumn("_place", place), users))
+
+
+def scorable(acts: DataFrame, users: DataFrame) -> DataFrame:
+    return without_conflicts(_placed(acts, users)).drop("_place")
 
 
 def categories(acts: DataFrame, poi: DataFrame) -> DataFrame:
@@ -65,7 +74,7 @@ def _listed(wishes: DataFrame, fields: dict[str, str], city: bool) -> DataFrame:
     mine = wishes.where((F.col("kind") == "list") & F.col("field").isin(*fields.values()))
     lists = {n: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("ord", "value")))) for n, f in fields.items()}  # a user's list is as long as it was said
     got = mine.groupBy(*keys).agg(*[c.alias(n) for n, c in lists.items()])
-    return got.select(*keys, *[F.transform(n, lambda x: x["value"]).alias(n) for n in fields])
+    return got.select(*keys, *[F.transform(n, lambda x: x["value"]).alias(n) for n in fields]).hint("merge")
 
 
 def _has(xs: str, value: Column) -> Column:
@@ -81,7 +90,7 @@ def named(taking: DataFrame, wishes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Once for each wish whose place a visited attraction of its city names: +2 or -2. And the places so named."""
     visits = taking.where("typ = 'attraction'").select("trial", "usr", "city", "location").distinct()
     asked = wishes.where("field in ('attractions.must_visit', 'attractions.reject_visit')")
-    hit = visits.join(asked, ["trial", "usr", "city"]).where(F.contains("location", "value"))
+    hit = visits.join(asked.hint("merge"), ["trial", "usr", "city"]).where(F.contains("location", "value"))
     once = hit.select("trial", "usr", "city", "field", "ord", "value").distinct()
     score = F.when(F.col("field") == "attractions.must_visit", fixed.STRONG).otherwise(-fixed.STRONG)
     return _scores(once, "attraction", F.col("field"), "value", score), hit.select("trial", "usr", "city", "location").distinct()
@@ -90,7 +99,7 @@ def named(taking: DataFrame, wishes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def liked(taking: DataFrame, wishes: DataFrame, known: DataFrame, taken: DataFrame) -> DataFrame:
     """For each visit to a known attraction that U1 didn't name (taken): +1 if a liked word is in its name or its
     category is liked, and -1 likewise."""
-    visits = taking.where("typ = 'attraction'").join(taken, ["trial", "usr", "city", "location"], "left_anti")
+    visits = taking.where("typ = 'attraction'").join(taken.hint("merge"), ["trial", "usr", "city", "location"], "left_anti")
     visits = visits.join(known.select("city", F.col("place").alias("location"), "category"), ["city", "location"])
     both = visits.join(_listed(wishes, {"positive": "attractions.category_pref.positive", "negative": "attractions.category_pref.negative"}, True), ["trial", "usr", "city"])
     category = F.col("category")
@@ -141,7 +150,7 @@ def stays(acts: DataFrame, wishes: DataFrame, known: DataFrame) -> DataFrame:
 def _caps(wishes: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Each user's numbers: a column for each field, null where it is missing."""
     mine = wishes.where((F.col("kind") == "scalar") & F.col("field").isin(*fields.values())).withColumn("_x", F.col("value").try_cast("double"))
-    return mine.groupBy("trial", "usr").agg(*[F.max(F.when(F.col("field") == f, F.col("_x"))).alias(n) for n, f in fields.items()])
+    return mine.groupBy("trial", "usr").agg(*[F.max(F.when(F.col("field") == f, F.col("_x"))).alias(n) for n, f in fields.items()]).hint("merge")
 
 
 def pace(taking: DataFrame, wishes: DataFrame) -> DataFrame:
@@ -163,7 +172,7 @@ def spending(segments: DataFrame, acts: DataFrame, taking: DataFrame, users: Dat
     shared = shared.groupBy("trial").agg(*[F.sum(F.when(F.col("_k") == k, F.col("_c"))).alias(f"{k}s") for k in ("leg", "hotel")])
     own = taking.where("typ = 'food'").groupBy("trial", "usr").agg(F.sum(cost).alias("meals"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(18,2)")).cast("decimal(28,2)").alias(c)
-    rows = users.select("trial", "usr").distinct().join(shared, "trial", "left").join(own, ["trial", "usr"], "left")
+    rows = users.select("trial", "usr").distinct().join(shared.hint("merge"), "trial", "left").join(own.hint("merge"), ["trial", "usr"], "left")
     return rows.select("trial", "usr", zero("legs"), zero("hotels"), zero("meals")).withColumn("spent", F.col("legs") + F.col("hotels") + F.col("meals"))
 
 

@@ -76,12 +76,12 @@ def timeline(segments_: DataFrame, acts: DataFrame, users: DataFrame) -> DataFra
 
     users(trial, usr). starts, ends: places; who_ix: the person's place in the list.
     """
-    everyone = users.groupBy("trial").agg(F.array_sort(F.collect_set("usr")).alias("_all"))  # a group's few people
+    everyone = users.groupBy("trial").agg(F.array_sort(F.collect_set("usr")).alias("_all"))  # a group's few people; too many groups to broadcast
     columns = [*DAY, "day", "seg_ix", "act_ix", "who_ix", "usr", "typ", "city", "starts", "ends", "st", "en"]
     none = F.lit(None).cast("string")
-    legs = segments_.where("kind = 'intercity'").join(everyone, "trial").select("*", F.posexplode("_all").alias("who_ix", "usr"))
+    legs = segments_.where("kind = 'intercity'").join(everyone.hint("merge"), "trial").select("*", F.posexplode("_all").alias("who_ix", "usr"))
     legs = legs.select(*DAY, "day", "seg_ix", F.lit(-1).alias("act_ix"), "who_ix", "usr", F.lit("intercity_transport").alias("typ"), none.alias("city"), none.alias("starts"), none.alias("ends"), "st", "en")
-    own = acts.withColumn("starts", place(False)).withColumn("ends", place(True)).join(everyone, "trial", "left")
+    own = acts.withColumn("starts", place(False)).withColumn("ends", place(True)).join(everyone.hint("merge"), "trial", "left")
     own = own.select("*", F.posexplode(participants(F.col("who"), F.col("_all"))).alias("who_ix", "usr"))
     return legs.select(columns).unionByName(own.select(columns))
 
@@ -114,7 +114,7 @@ def backwards(line: DataFrame, users: DataFrame, chunk: Column | None = None) ->
 
     A hotel doesn't move the clock on, and neither does an end before its start.
     """
-    own = line.join(users.select("trial", "usr").distinct(), ["trial", "usr"], "left_semi")
+    own = line.join(users.select("trial", "usr").distinct().hint("merge"), ["trial", "usr"], "left_semi")
     own = own.groupBy(*DAY, "usr", "seg_ix", "act_ix").agg(*[F.first(c).alias(c) for c in ("day", "typ", "st", "en")])  # a name listed twice is one person
     end = F.when((F.col("typ") != "hotel") & (F.col("st").isNull() | (F.col("en") >= F.col("st"))), F.col("en"))
     rows = running(own, [*DAY, "usr"], ["seg_ix", "act_ix"], [Running("clock", "last", end)], chunk)
@@ -207,5 +207,5 @@ def split_penalty(acts: DataFrame) -> DataFrame:
     teams = islands(team, [*DAY, "seg_ix"]).select(*key, "day", "team").distinct()
     counts = teams.groupBy(*key, "day").agg(F.count("*").alias("teams"), F.sum(F.size("team")).alias("_apart"))
     together = teams.select(*key, F.explode("team").alias("name")).distinct().groupBy(*key).agg(F.count("*").alias("_together"))
-    split = counts.where("teams > 1").join(together, key).where("_apart = _together")
+    split = counts.where("teams > 1").join(together.hint("merge"), key).where("_apart = _together")
     return split.select(*DAY, "day", "seg_ix", F.col("island").cast("long").alias("island"), "teams", (F.col("teams") - 1).alias("penalty"))

@@ -97,7 +97,7 @@ def plan_texts(spark, sf_dir: str) -> DataFrame:
     day = day.selectExpr("trial", "day_ix", f"""concat('{{"day":', CAST(day_ix + 1 AS STRING), CASE WHEN trial % 7 > 0 THEN ',"date":"2025-01-01"' ELSE '' END, ',"city_segments":', {listed}, '}}') AS json""")
     told = F.expr("array_join(transform(array_sort(collect_list(struct(day_ix, json))), x -> x.json), ',')")
     plan = day.groupBy(F.col("trial").alias("_t")).agg(told.alias("json"))
-    everyone = table(spark, sf_dir, "customer").join(plan, F.col("c_custkey") == F.col("_t"), "left")
+    everyone = table(spark, sf_dir, "customer").join(plan.hint("merge"), F.col("c_custkey") == F.col("_t"), "left")  # the texts are far longer than Spark guesses
     text = f"CASE {_NO_DAYS} WHEN 0 THEN '{{\"days\":null}}' WHEN 1 THEN '{{\"days\":[]}}' ELSE concat('{{\"days\":[', coalesce(json, ''), ']}}') END"
     return everyone.selectExpr("c_custkey AS trial", f"{text} AS plan")
 

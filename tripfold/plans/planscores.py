@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tripfold.operators import plan_scores as S
 from tripfold.operators import plans as P
 from tripfold.plans.adapters import table
 from tripfold.plans.planned import _FLAT, Planned
+from tripfold.session import written
 
 QUERIES, SQL = {}, {}
 
@@ -52,10 +55,18 @@ class Scored(Planned):
         super().__init__(spark, sf_dir)
         self.poi = table(spark, sf_dir, "part").where("p_partkey % 5 <> 4").selectExpr(*[f"{e} AS {n}" for n, e in _POI.items()])
         rows = ", ".join(f"struct('{u}' AS usr, {c or 'CAST(NULL AS STRING)'} AS city, '{f}' AS field, '{k}' AS kind, {o} AS ord, {v} AS value)" for u, c, f, k, o, v in _wishes())
-        self.wishes = table(spark, sf_dir, "customer").selectExpr("c_custkey AS trial", f"inline(array({rows}))")
-        self.known = S.categories(self.acts.withColumn("location", F.coalesce("location", F.lit(""))), self.poi)
+        few = table(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")  # a small table that unfolds to a large one
+        self._wishes = few.selectExpr("c_custkey AS trial", f"inline(array({rows}))")
         self.taking = S.activity_users(self.acts, self.users)
 
+    @cached_property
+    def wishes(self) -> DataFrame:
+        return written(self._wishes)  # each score takes some of them
+
+    @cached_property
+    def known(self) -> DataFrame:
+        return written(S.categories(self.acts.withColumn("location", F.coalesce("location", F.lit(""))), self.poi))  # so that Spark knows which side of its joins is the small one
+
     def clean(self) -> DataFrame:
         return S.scorable(self.acts, self.users)
 
@@ -128,7 +139,7 @@ def q_placedetail(spark, sf_dir):
 def q_sights(spark, sf_dir):
     """By trial, user and city; visits that U1 named don't count for U2; conflicts count for neither."""
     t = Scored(spark, sf_dir)
-    clean = t.clean()
+    clean = written(t.clean())
     by_name, taken = S.named(clean, t.wishes)
     return _shown(by_name).unionByName(_shown(S.liked(clean, t.wishes, t.known, taken)))
 
@@ -160,7 +171,7 @@ def q_spending(spark, sf_dir):
     t = Scored(spark, sf_dir)
     spent = S.spending(t.segments, t.acts, t.taking, t.users)
     above = S.budget(spent, t.wishes).select("trial", "usr", F.lit(True).alias("above"))
-    return spent.join(above, ["trial", "usr"], "left").select("trial", "usr", *[F.col(c).cast("double").alias(c) for c in ("legs", "hotels", "meals", "spent")], F.coalesce("above", F.lit(False)).alias("above"))
+    return spent.join(above.hint("merge"), ["trial", "usr"], "left").select("trial", "usr", *[F.col(c).cast("double").alias(c) for c in ("legs", "hotels", "meals", "spent")], F.coalesce("above", F.lit(False)).alias("above"))
 
 
 @query(_SCORES + " SELECT * FROM pu")
