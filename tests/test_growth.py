@@ -68,3 +68,12 @@ def test_a_catalogue_is_grouped_before_it_is_asked(spark):
     found = lookups.match_places(spark.range(1).selectExpr("'C' AS city", "'L1' AS place"), poi)
     assert [tuple(r) for r in found.collect()] == [("C", "L1", "L1", 2)]
     assert "partial_min(ord" in plan(found).split("BroadcastExchange")[-1] or "partial_min(ord" in plan(found).split("Join")[-1]  # below the join, not above it
+
+
+def test_scores_of_users_take_what_was_written(spark, scored):
+    users, wishes, acts, segments = scored
+    scores = planscores.Scored(spark, SF).scores()
+    assert "Window" not in plan(scores) and "Generate inline" not in plan(scores)  # conflicts and wishes aren't worked out again by each score
+    taking = S.activity_users(acts, users)
+    for df in (S.pace(taking, wishes), S.modes(segments, wishes), S.spending(segments, acts, taking, users), S.budget(S.spending(segments, acts, taking, users), wishes)):
+        assert "Broadcast" not in plan(df)

@@ -183,9 +183,9 @@ def budget(spent: DataFrame, wishes: DataFrame) -> DataFrame:
 
 
 def all_scores(segments: DataFrame, acts: DataFrame, users: DataFrame, wishes: DataFrame, poi: DataFrame) -> DataFrame:
-    """U1 to U7 of every user."""
-    taking, known = activity_users(acts, users), categories(acts.withColumn("location", F.coalesce("location", F.lit(""))), poi)
-    clean = scorable(acts, users)
+    """U1 to U7 of every user. What more than one of them takes is written."""
+    taking, known = _placed(acts, users), written(categories(acts.withColumn("location", F.coalesce("location", F.lit(""))), poi))
+    clean = written(without_conflicts(taking).drop("_place"))
     by_name, taken = named(clean, wishes)
     parts = [by_name, liked(clean, wishes, known, taken), meals(clean, wishes, known), modes(segments, wishes), stays(acts, wishes, known), pace(taking, wishes), budget(spending(segments, acts, taking, users), wishes)]
     return reduce(DataFrame.unionByName, [p.select(SCORE) for p in parts])
@@ -194,7 +194,7 @@ def all_scores(segments: DataFrame, acts: DataFrame, users: DataFrame, wishes: D
 def per_user(scores: DataFrame, users: DataFrame) -> DataFrame:
     """A row for each user with the sum of each dimension and of all, 0 where there is none."""
     by = scores.groupBy("trial", "usr").pivot("dimension", list(DIMENSIONS)).agg(F.sum("score"))
-    out = users.select("trial", "usr").distinct().join(by, ["trial", "usr"], "left").select("trial", "usr", *[F.coalesce(d, F.lit(0)).cast("long").alias(d) for d in DIMENSIONS])
+    out = users.select("trial", "usr").distinct().join(by.hint("merge"), ["trial", "usr"], "left").select("trial", "usr", *[F.coalesce(d, F.lit(0)).cast("long").alias(d) for d in DIMENSIONS])
     return out.withColumn("total", reduce(lambda a, b: a + b, [F.col(d) for d in DIMENSIONS]))
 
 
