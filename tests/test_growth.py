@@ -77,3 +77,11 @@ def test_scores_of_users_take_what_was_written(spark, scored):
     taking = S.activity_users(acts, users)
     for df in (S.pace(taking, wishes), S.modes(segments, wishes), S.spending(segments, acts, taking, users), S.budget(S.spending(segments, acts, taking, users), wishes)):
         assert "Broadcast" not in plan(df)
+
+
+def test_utility_takes_each_users_sums_once(spark, scored):
+    users, wishes, _, _ = scored
+    each = users.withColumn("total", users["trial"])
+    assert "Broadcast" not in plan(S.utility(each, wishes.select("trial", "usr"), users.withColumn("penalty", users["trial"])))
+    shown = plan(planscores.q_planutility(spark, SF))
+    assert "attractions.must_visit" not in shown and "Generate" not in shown.split("Window")[0]

@@ -205,8 +205,8 @@ def utility(each: DataFrame, scored: DataFrame, penalties: DataFrame) -> DataFra
     penalties(trial, penalty). A trial without any such user has its penalty alone, as of one user.
     """
     lost = penalties.groupBy("trial").agg(F.sum("penalty").alias("penalty"))
-    mine = each.join(scored.select("trial", "usr").distinct(), ["trial", "usr"], "left_semi").groupBy("trial").agg(F.sum("total").alias("before"), F.count("*").alias("n_users"))
-    out = each.select("trial").distinct().join(mine, "trial", "left").join(lost, "trial", "left")
+    mine = each.join(scored.select("trial", "usr").distinct().hint("merge"), ["trial", "usr"], "left_semi").groupBy("trial").agg(F.sum("total").alias("before"), F.count("*").alias("n_users"))
+    out = each.select("trial").distinct().join(mine.hint("merge"), "trial", "left").join(lost.hint("merge"), "trial", "left")
     out = out.select("trial", F.coalesce("n_users", F.lit(0)).alias("n_users"), F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("penalty", F.lit(0)).cast("long").alias("penalty"))
     out = out.withColumn("total", F.col("before") - F.col("penalty"))
     return out.withColumn("utility", F.col("total").cast("double") / F.greatest("n_users", F.lit(1)))

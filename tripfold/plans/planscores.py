@@ -194,6 +194,6 @@ FROM (SELECT trial, CAST(sum(CASE WHEN usr <> 'U2' THEN total ELSE 0 END) AS BIG
 def q_planutility(spark, sf_dir):
     """U8 to U10, end to end: from plan text to utility and fairness. Users without wishes count for fairness alone."""
     t = Scored(spark, sf_dir)
-    each = S.per_user(t.scores(), t.users)
+    each = written(S.per_user(t.scores(), t.users))
     out = S.utility(each, t.wishes.select("trial", "usr"), P.split_penalty(t.acts))
-    return out.join(S.plan_fairness(each), "trial").select("trial", F.col("n_users").cast("int").alias("n_users"), "before", "penalty", "total", "utility", "low", "high", "fairness")
+    return out.join(S.plan_fairness(each).hint("merge"), "trial").select("trial", F.col("n_users").cast("int").alias("n_users"), "before", "penalty", "total", "utility", "low", "high", "fairness")
