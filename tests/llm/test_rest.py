@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SF
@@ -165,6 +166,32 @@ def test_language_model_of_nothing(frame):
     assert L.language_model(frame(["x"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("known", [[], [b"the", b"a"], [b"\n", b"the", b"a", b"c"]])
+def test_look_up_of_a_batch(known):
+    texts = [" The  c\x0b\x0c\r\n\u00c0d ", None, "", "  ", "x unseen THE the unseen", "a\x1fb\x85c d the A", "unseen " * 5]
+    lex = L.Lexicon(known, np.arange(len(known), 0, -1.0), np.full(L.CLASSES, 5.0), np.full(L.CLASSES, 2.0), 10, 4)
+    got = L.looked_up(pa.array(texts, pa.string()), lex, lex.index())
+    for k, t in enumerate(texts):
+        words = L.tokens_of(t)
+        rare = Counter(w for w in words if w not in known)
+        assert (got["n_tokens"][k], got["n_known"][k]) == (len(words), sum(w in known for w in words))
+        assert {x["word"]: x["n"] for x in got["rare"][k].as_py()} == rare
+        assert np.frombuffer(got["slots"][k].as_py(), "<u2").tolist() == [lex.slot[known.index(w)] if w in known else lex.rest[L.class_of(w)] for w in words]
+
+
+def test_sums_of_short_and_long_runs():
+    first = np.r_[0, np.cumsum(np.r_[1, 3, 40, 1, L.RUN, L.RUN + 1, 20_000, 2])][:-1]
+    x = np.random.default_rng(0).normal(0, 1, (first[-1] + 2, L.HIDDEN)).astype(np.float32)
+    assert np.allclose(L.sums(x, first), np.add.reduceat(x.astype(float), first, axis=0), atol=1e-2)
+
+
+def test_documents_held_out_have_slots_and_no_round(spark, frame):
+    docs = frame([prose(i, 12) for i in range(40)])
+    rows = L.slotted(docs.withColumn("held_out", docs.doc_id % 10 == 0), spark.sparkContext.broadcast(L.lexicon(L.counted(docs)))).toPandas()
+    assert sorted(rows[rows.held_out].doc_id) == [0, 10, 20, 30] and set(rows["_slice"][rows.held_out]) == {L.SLICES}
+    assert len(rows) == 40 and (rows["_slice"][~rows.held_out] < L.SLICES).all() and (rows.slots.str.len() == 2 * rows.n_tokens).all()
+
+
 # --- 7: line dedup
 def test_site_lines_against_sql(spark):
     con = duckdb.connect()
